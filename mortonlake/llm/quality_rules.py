@@ -25,7 +25,7 @@ METRICS = {
     "symbols": (10000, "n_symbols", "n_words", 500, False),
     "upper": (10000, "n_upper", "word_chars", 400, False),
     "dup_lines": (10000, "n_dup_lines", "n_lines", 1700, False),
-    "repeats": (10000, "n_repeat_words", "n_words", 600, False),
+    "repeats": (10000, "n_repeat_words", "n_words", 1200, False),
 }
 WIDTH, MIN_GROUP, MIN_WORDS, MAX_REPEAT_PERCENT = 3, 50, 50, 50
 GROUPS_BROADCAST = 100_000
