@@ -60,3 +60,32 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of a few hundred rows, as one text may have megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def running(df: DataFrame, value: str, order: str, name: str, keys: tuple[str, ...] = (), rows: int | None = None, per_bucket: int = 20_000) -> DataFrame:
+    """df with, in column name, the sum of value over the rows before it (among those equal in keys).
+
+    A total order over buckets of rows, not one sorted task: rows are hashed to
+    buckets of about per_bucket rows each, summed within a bucket in the order of
+    the unique column `order`, and shifted by the sum of the buckets before. So a
+    key that holds most rows is spread over as many buckets as any other.
+    """
+    from pyspark.sql import Window
+
+    rows = df.count() if rows is None else rows
+    buckets = max(1, -(-rows // per_bucket))
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"))
+    sums = df.groupBy(*keys, "__bucket").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__bucket").alias("__at"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__shift"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    on = F.col("__bucket") == F.col("__at")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    return df.join(sums, on).withColumn(name, (F.col("__inside") + F.col("__shift")).cast("long")).drop("__bucket", "__at", "__inside", "__shift", *[f"__{k}" for k in keys])

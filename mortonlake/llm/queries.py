@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, packing, quality_rules, url_filter
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op9_packing": packing.op9_packing,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op5_quality_rules": quality_rules.oracle(),
+    "op7_url_filter": url_filter.oracle(),
 }
