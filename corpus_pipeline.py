@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mortonlake.llm.common import table
+from mortonlake.llm.jaccard_join import drop_near_duplicates
+from mortonlake.llm.line_dedup import line_dedup
+from mortonlake.llm.mixing import mix
+from mortonlake.llm.packing import pack
 from mortonlake.llm.quality_rules import quality_rules
 
 
@@ -14,8 +18,33 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs).filter("kept").select(*docs.columns)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; those that lose all their lines go."""
+    out = line_dedup(docs).filter((F.size("deleted_lines") < F.col("n_lines")) | (F.col("n_lines") == 0))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the source weights use them: each at least once, none more than twice."""
+    return mix(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids, by sequence."""
+    return pack(docs)
+
+
 STAGES = [
     ("quality rules", rules),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near),
+    ("mixing sources to target weights", mixture),
+    ("packing", packed),
 ]
 #: Packing and the mixing weights cannot be expressed in SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None
