@@ -375,8 +375,8 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     whole, distinct = total.n + ends, total.v + (ends > 0)
     # the least count of the at most COMMON words that go to every task
-    width = F.length(F.bin("c"))
-    buckets = counts.groupBy(F.shiftright("c", F.greatest(width - 5, F.lit(0))).alias("head"), F.greatest(width - 5, F.lit(0)).alias("shift")).count().collect()  # some hundred rows
+    sized = counts.selectExpr("c", "greatest(length(bin(c)) - 5, 0) as shift").selectExpr("shiftright(c, shift) as head", "shift")
+    buckets = sized.groupBy("head", "shift").count().collect()  # some hundred rows
     least, held = float("inf"), 0
     for head, shift, n in sorted(buckets, key=lambda r: -(r[0] << r[1])):
         held += n
