@@ -42,11 +42,11 @@ def finite(col: str) -> Column:
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row by inner product."""
-    k, found = min(k, len(x) - 1), []
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
+    k, found, x = min(k, len(x) - 1), [], x.astype(np.float32)
+    for at in range(0, len(x), 64):  # a few MB at a time
+        s = x[at : at + 64] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        found.append(np.argpartition(-s, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(s), 0), int))
+        found.append(np.argpartition(np.negative(s, out=s), k - 1, axis=1)[:, :k].astype(np.int32) if k > 0 else np.zeros((len(s), 0), np.int32))
     return np.concatenate(found)
 
 
@@ -127,7 +127,7 @@ def train(x: np.ndarray, parts: int) -> Router:
     """x: the sample, each vector once."""
     near = neighbours(x, NEIGHBOURS)
     part = balanced_parts(x, near, parts)
-    target = np.zeros((len(x), parts))
+    target = np.zeros((len(x), parts), np.float32)
     np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), part[near].ravel()), 1.0)
     target[np.arange(len(x)), part] += near.shape[1] or 1
     return Router(x, target / target.sum(axis=1, keepdims=True))
