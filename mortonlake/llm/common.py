@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,3 +107,16 @@ def running(df: DataFrame, value: str, order: str, name: str, keys: tuple[str, .
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
     return df.join(sums, on).withColumn(name, (F.col("__inside") + F.col("__shift")).cast("long")).drop("__bucket", "__at", "__inside", "__shift", *[f"__{k}" for k in keys])
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have about size bytes."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
