@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import KM_PER_DEGREE, LEAST_COSINE
+from ..constants import KM_PER_DEGREE
 from ..functions.geo import bounding_box, haversine_km
-from ..plans.ranges import rings
+from ..plans.ranges import box, rings, z_bounds
 from .index import PointIndex
-from .search import inside
-from ..plans.ranges import Box, box
+from .search import inside, ring_of
 
 LEAST_CELL, MOST_CELL, MOST_CELLS = 0.01, 30.0, 64
 LIMITS = ("min_lat", "max_lat", "min_lng", "max_lng")
@@ -110,24 +109,26 @@ def radius_sweep(index: PointIndex, lat: float, lng: float, radii: list[float])
 
 
 def knn_sweep(index: PointIndex, lat: float, lng: float, ks: list[int], max_radius_km: float) -> DataFrame:
-    """k, found, farthest_km: one search with the greatest k ranks the rows; each k has its own ring."""
+    """k, found, farthest_km of a search for each k around one centre.
+
+    One scan: each k has its own ring, as a search with that k would choose it.
+    """
     if min(ks) < 1:
         raise ValueError("k must be at least 1")
-    one = index.spark.createDataFrame([(int(k), float(lat), float(lng)) for k in ks], "qid int, lat double, lng double")
     radii = rings(max_radius_km)
     if not radii:
         raise ValueError("max_radius_km must be at least 1")
-    out = knn_join(one, index, max(ks), max_radius_km)
-    # a smaller k may stop at a smaller ring, which can leave out a near point beyond that ring's box
-    rows = one.select(F.col("qid").alias("k"))
+    boxes = [box(lat, lng, r) for r in radii]
+    near = index.between(*z_bounds(boxes[-1])).filter(inside(boxes[-1])).withColumn("distance_km", haversine_km(lat, lng, F.col("lat_q"), F.col("lng_q")))
+    near = near.withColumn("ring", ring_of(F.col("distance_km"), boxes, radii)).filter("ring is not null").select("id", "z_ord", "distance_km", "ring").dropDuplicates(["id", "z_ord"])
+    counts = {r[0]: r[1] for r in near.groupBy("ring").count().collect()}  # at most four rows
+    upto = [sum(counts.get(i, 0) for i in range(ring + 1)) for ring in range(len(radii))]
     parts = []
     for k in ks:
-        found = knn_join(one.filter(F.col("qid") == k), index, k, max_radius_km) if k != max(ks) else out.filter(F.col("qid") == k)
-        parts.append(found.groupBy(F.col("qid").alias("k")).agg(F.count("*").alias("found"), F.max("distance_km").alias("farthest_km")))
-    all_parts = parts[0]
+        ring = next((i for i, n in enumerate(upto) if n >= k), len(radii) - 1)
+        best = near.filter(F.col("ring") <= ring).orderBy("distance_km", "id").limit(k)
+        parts.append(best.agg(F.lit(int(k)).alias("k"), F.count("*").alias("found"), F.max("distance_km").alias("farthest_km")))
+    out = parts[0]
     for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    return rows.join(all_parts, "k", "left").select("k", F.coalesce("found", F.lit(0)).alias("found"), "farthest_km")
-
-
-__all__ = ["Box", "LEAST_COSINE", "distance_join", "distance_join_counts", "knn_join", "knn_sweep", "radius_sweep", "region_counts", "region_join"]
+        out = out.unionByName(p)
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EARTH_RADIUS_KM, MAX_LAT, MAX_LNG, MIN_LAT, MIN_LNG
 from ..functions.geo import haversine_km
-from ..plans.ranges import Box, box, rings, z_bounds
+from ..plans.ranges import Box, box, merge_ranges, rings, z_bounds
 from .index import PointIndex
 
 RESULT = ("id", "z_ord", "lat", "lng", "distance_km")
@@ -81,6 +81,14 @@ def bbox_search(index: PointIndex, min_lat: float, max_lat: float, min_lng: floa
     return index.between(*z_bounds(b)).filter(inside(b)).select("id", "z_ord", F.col("lat_q").alias("lat"), F.col("lng_q").alias("lng"))
 
 
+def ranges_search(index: PointIndex, ranges: list[tuple[int, int]]) -> DataFrame:
+    """id, z_ord, lat, lng of the points in any of the Z-ranges, each once: merged first, so they reach the scan as few conditions."""
+    condition = F.lit(False)
+    for low, high in merge_ranges(ranges):
+        condition = condition | F.col("z_ord").between(low, high)
+    return without_duplicates(index.rows().filter(condition)).select("id", "z_ord", F.col("lat_q").alias("lat"), F.col("lng_q").alias("lng"))
+
+
 def ring_of(distance: Column, boxes: list[Box], radii: list[float]) -> Column:
     """The first ring whose box and circle hold the row; null for none."""
     out = F.when(inside(boxes[0]) & (distance <= radii[0]), 0)

@@ -61,6 +61,17 @@ def build_ranges_adaptive(lat: float, lng: float, radius_km: float, most: int, l
     return out
 
 
+def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The fewest ranges with the same union, in order."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], z))
+        else:
+            out.append((a, z))
+    return out
+
+
 def ranges_frame(spark: SparkSession, ranges: list[tuple[int, int]]) -> DataFrame:
     return spark.createDataFrame([(i, a, z) for i, (a, z) in enumerate(ranges)], "range_no int, z_min long, z_max long")
 

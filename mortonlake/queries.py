@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import info
 from .constants import EARTH_RADIUS_KM, KM_PER_DEGREE
 from .functions import geo, morton
 from .operators import batch, joins, search
 from .operators.index import PointIndex, project
-from .plans.ranges import Box, box, build_ranges, build_ranges_adaptive, ranges_frame, rings, z_bounds
+from .plans.ranges import Box, box, build_ranges, build_ranges_adaptive, merge_ranges, ranges_frame, rings, z_bounds
 from .sources import points as src
 
 LAT, LNG = -23.5505, -46.6333
@@ -376,11 +377,36 @@ def knn_join(spark, sf_dir):
     return _rounded(joins.knn_join(src.query_points(spark, sf_dir), _index(src.world_points(spark, sf_dir)), 5, 5000.0))
 
 
-@register()
+def _corners_sql(n: int) -> str:
+    """The Z-range of each cell of an n by n grid over the search box, from its two corners."""
+    b = box(LAT, LNG, 2000.0)
+    at = lambda low, high, k: f"{_d(low)} + {k} * (({_d(high)} - {_d(low)}) / {n})"
+    lat0, lng0 = at(b.min_lat, b.max_lat, "i"), at(b.min_lng, b.max_lng, "j")
+    lat1, lng1 = at(b.min_lat, b.max_lat, "(i + 1)"), at(b.min_lng, b.max_lng, "(j + 1)")
+    cells = f"(SELECT i, j FROM generate_series(0, {n - 1}) a(i), generate_series(0, {n - 1}) b(j))"
+    points = f"SELECT i * {n} + j AS id, {lat0} AS lat, {lng0} AS lng FROM {cells} UNION ALL SELECT i * {n} + j, {lat1}, {lng1} FROM {cells}"
+    return f"WITH {_index_sql(points)} SELECT CAST(id AS INTEGER) AS range_no, min(z_ord) AS z_min, max(z_ord) AS z_max FROM idx GROUP BY id"
+
+
+@register(f"WITH {_index_sql(f'SELECT 0 AS id, {_d(box(LAT, LNG, 2000.0).min_lat)} AS lat, {_d(box(LAT, LNG, 2000.0).min_lng)} AS lng UNION ALL SELECT 0, {_d(box(LAT, LNG, 2000.0).max_lat)}, {_d(box(LAT, LNG, 2000.0).max_lng)}')} SELECT 0 AS range_no, min(z_ord) AS z_min, max(z_ord) AS z_max FROM idx")
 def z_ranges(spark, sf_dir):
     return ranges_frame(spark, build_ranges(LAT, LNG, 2000.0))
 
 
-@register()
+@register(_corners_sql(8))
 def z_ranges_adaptive(spark, sf_dir):
     return ranges_frame(spark, build_ranges_adaptive(LAT, LNG, 2000.0, 64, 3))
+
+
+_CELLS = merge_ranges(build_ranges_adaptive(LAT, LNG, 2000.0, 64, 3))
+
+
+@register(f"WITH {_index_sql(BULK)} SELECT DISTINCT id, z_ord FROM idx WHERE {' OR '.join(f'z_ord BETWEEN {a} AND {z}' for a, z in _CELLS)}")
+def ranges_search(spark, sf_dir):
+    ranges = build_ranges_adaptive(LAT, LNG, 2000.0, 64, 3)
+    return search.ranges_search(_index(src.bulk_points(spark, sf_dir)), ranges).select("id", "z_ord")
+
+
+@register()
+def engine_info(spark, sf_dir):
+    return info.engine_info(spark)
