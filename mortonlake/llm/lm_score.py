@@ -18,21 +18,21 @@ at most COMMON, go to every task; other words are joined by key.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, forget, load, small_batches, table
+from .common import fold, forget, gathered, load, small_batches, table
 
 MODEL, BOS, EOS = "piece_bpe_32k.model", 1, 2
-LENGTH, OVERLAP, BATCH, WIDTH, HIDDEN = 64, 8, 128, 16, 32
+LENGTH, OVERLAP, BATCH, WIDTH, HIDDEN = 32, 4, 64, 16, 32
 SINGLES, BINS, INPUTS = 112, 16, 2048
-TRAIN_EVERY, TRAIN_WORDS, ROUNDS, RATE, TRAIN_BATCH = 8, 26, 4, 0.02, 32
-COMMON, REMEMBERED, FLUSH = 200_000, 400_000, 400_000
+TRAIN_EVERY, ROUNDS, RATE, TRAIN_BATCH = 16, 4, 0.02, 64
+COMMON, REMEMBERED = 200_000, 400_000
 
 _pieces: dict = {}
 
@@ -53,19 +53,19 @@ class Pieces:
             _pieces[path] = Pieces(path)
         return _pieces[path]
 
-    def learn(self, words) -> None:
+    def ids(self, words: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = [w for w in words if w not in known]
+        ids = [*map(known.get, words)]
+        new = [w for w, x in zip(words, ids, strict=True) if x is None]
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
-            for w, ids in zip(some, self.model.encode([w.decode("utf-8", "replace") for w in some], num_threads=1), strict=True):
-                known[w] = np.array(ids, "<u2").tobytes()
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of the words, and the end."""
-        return np.frombuffer(b"".join([*map(self.known.__getitem__, words), np.array([EOS], "<u2").tobytes()]), "<u2")
+            encoded = self.model.encode(some, num_threads=1)
+            raw, upto = np.fromiter((i for x in encoded for i in x), "<u2").tobytes(), 0
+            for w, x in zip(some, encoded, strict=True):
+                known[w] = raw[upto : (upto := upto + 2 * len(x))]
+        return [known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if new else ids
 
 
 def model_path(name: str = MODEL) -> str:
@@ -74,8 +74,27 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()  # bytes.lower changes A-Z alone
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of a batch of texts, as numbers of its distinct words, and the text that each is from."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))  # A-Z alone change, and the six separators alone split
+    flat, text = lists.flatten(), np.asarray(pc.list_parent_indices(lists))
+    real = np.asarray(pc.binary_length(flat)) > 0  # before a leading or after a trailing separator lies an empty one
+    if not real.all():
+        flat, text = flat.filter(pa.array(real)), text[real]
+    return flat.dictionary_encode(), text
+
+
+def ids_of(pieces: Pieces, words: pa.DictionaryArray, text: np.ndarray, n: int) -> pa.Array:
+    """The ids of n texts, each with its end, as bytes of 16-bit numbers."""
+    raw = pa.array(pieces.ids(words.dictionary.to_pylist()), pa.binary()).take(words.indices)
+    offsets = np.r_[0, np.cumsum(np.bincount(text, minlength=n))].astype(np.int32)
+    return pc.binary_join_element_wise(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), raw), b""), np.array([EOS], "<u2").tobytes(), b"")
+
+
+def flattened(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in one array; and where each text starts, with the array's length last."""
+    start = np.r_[0, np.cumsum(np.asarray(pc.binary_length(ids)))] // 2
+    return np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype(np.int64), start
 
 
 class Classes:
@@ -104,7 +123,7 @@ class Model:
 
     def __init__(self, w: dict[str, np.ndarray]) -> None:
         self.w = w
-        self.mask = np.triu(np.full((LENGTH, LENGTH), -1e9, np.float32), 1)
+        self.mask = np.tril(np.ones((LENGTH, LENGTH), np.float32))
 
     @staticmethod
     def fresh(prior: np.ndarray, seed: int = 3) -> Model:
@@ -128,25 +147,36 @@ class Model:
         """rows: windows of input rows. What the backward pass needs; last, the output of the layers."""
         w, n = self.w, rows.shape[1]
         x = w["embed"][rows] + w["place"][:n]
-        q, k, v = (x @ w[c] for c in "qkv")
+        q, k, v = x @ (w["q"] * WIDTH**-0.5), x @ w["k"], x @ w["v"]
         s = q @ k.transpose(0, 2, 1)
-        s *= WIDTH**-0.5
-        s += self.mask[:n, :n]
-        np.exp(np.minimum(s, 30, out=s), out=s)
-        s /= s.sum(axis=2, keepdims=True)
+        with np.errstate(over="ignore", invalid="ignore"):
+            e = np.exp(s)
+            e *= self.mask[:n, :n]
+            total = e @ np.ones(n, np.float32)
+        if not np.isfinite(total).all():  # so rare that the greatest is sought only then
+            e = np.exp(s - np.where(self.mask[:n, :n] > 0, s, -np.inf).max(axis=2, keepdims=True)) * self.mask[:n, :n]
+            total = e @ np.ones(n, np.float32)
+        s = e
+        s /= total[:, :, None]
         mixed = s @ v
         y = x + mixed @ w["o"]
         u = np.tanh(y @ w["up"] + w["up0"])
         return x, q, k, v, s, mixed, y, u, y + u @ w["down"]
 
-    def logs(self, rows: np.ndarray, target: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        """Natural logs of the classes' probabilities, at the valid places in order."""
-        h = self.hidden(rows)[-1][valid]
-        z = h @ self.w["out"]
+    def logs(self, rows: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
+        """Natural logs of the classes' probabilities at each place of each window after the first `skip`."""
+        h = self.hidden(rows)[-1][:, skip:]
+        z = h.reshape(-1, WIDTH) @ self.w["out"]
         z += self.w["out0"]
-        own = z[np.arange(len(z)), target[valid]].astype(np.float64)
-        np.exp(np.minimum(z, 60, out=z), out=z)
-        return np.minimum(own, 60) - np.log(z.sum(axis=1, dtype=np.float32).astype(np.float64))
+        own = np.take_along_axis(z, target[:, skip:].reshape(-1, 1), axis=1)[:, 0].astype(np.float64)
+        with np.errstate(over="ignore"):
+            total = np.exp(z) @ np.ones(z.shape[1], np.float32)
+        if np.isfinite(total).all() and total.min() > 0:
+            logs = np.log(total.astype(np.float64))
+        else:
+            most = z.max(axis=1).astype(np.float64)
+            logs = most + np.log(np.exp(z - most[:, None]).sum(axis=1))
+        return (own - logs).reshape(len(rows), -1)
 
     def gradient(self, rows: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         w, n = self.w, rows.shape[1]
@@ -167,8 +197,8 @@ class Model:
         dm = dy @ w["o"].T
         ds = dm @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ dm
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * WIDTH**-0.5
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+        dq, dk = ds @ k * WIDTH**-0.5, ds.transpose(0, 2, 1) @ q  # q holds the scale
         dx = dy + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
         g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "place": np.zeros_like(w["place"]), "embed": np.zeros_like(w["embed"])}
         g["place"][:n] = dx.sum(axis=0)
@@ -188,16 +218,10 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-    for b in batches:
-        for t in b.column("text").to_pylist():
-            seen.update(words_of(t))
-        if len(seen) > FLUSH:
-            yield flush()
-            seen.clear()
-    if seen:
-        yield flush()
+    for b in gathered(batches, 24 << 20):
+        words, _ = words_of(b.column("text"))
+        n = np.bincount(np.asarray(words.indices), minlength=len(words.dictionary))
+        yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n.astype(np.int64))], ["word", "n"])
 
 
 def _subwords(path: str):
@@ -205,41 +229,35 @@ def _subwords(path: str):
         pieces = Pieces.of(path)
         total = np.zeros(pieces.model.get_piece_size(), np.int64)
         for b in batches:
-            words, n = b.column("word").to_pylist(), b.column("c").to_numpy()
-            encoded = pieces.model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+            encoded = pieces.model.encode(b.column("word").to_pylist(), num_threads=1)
             sizes = [len(x) for x in encoded]
             flat = np.fromiter((i for x in encoded for i in x), np.int64, sum(sizes))
-            np.add.at(total, flat, np.repeat(n, sizes))
+            np.add.at(total, flat, np.repeat(b.column("c").to_numpy(), sizes))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
     return run
 
 
-def _samples(path: str, classes: Classes):
+def _samples(classes: Classes):
     """Training windows: input rows and target classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(path)
         for b in batches:
-            rows, target, turn = [], [], []
-            for t in b.column("text").to_pylist():
-                words = words_of(t)
-                parts = -(-len(words) // TRAIN_WORDS) or 1
-                every = min(TRAIN_EVERY, parts)
-                at = zlib.crc32((t or "").encode("utf-8", "replace"))
-                for k in range(at % every, parts, every):
-                    some = words[max(0, k * TRAIN_WORDS - 1) : (k + 1) * TRAIN_WORDS]
-                    pieces.learn(some)
-                    ids = pieces.ids(some).astype(np.int64)
-                    ids = np.r_[BOS, ids] if not k else ids  # else the word before gives the first context
-                    ids = ids[: LENGTH + 1] if k == parts - 1 else ids[:-1][: LENGTH + 1]
-                    if len(ids) < LENGTH + 1:
-                        ids = np.r_[ids, np.full(LENGTH + 1 - len(ids), EOS)]
-                    rows.append(classes.input[ids[:-1]].astype("<u2").tobytes())
-                    target.append(classes.of[ids[1:]].astype("<u2").tobytes())
-                    turn.append((at // 7 + k) % ROUNDS)
-            yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), pa.array(rows, pa.binary()), pa.array(target, pa.binary())], ["turn", "rows", "target"])
+            flat, start = flattened(b.column("ids"))
+            first, turn = [], []
+            for s, e in zip(start[:-1].tolist(), start[1:].tolist()):
+                parts = -(-(e - s) // LENGTH)
+                every, hashed = min(TRAIN_EVERY, parts), zlib.crc32(flat[s : min(e, s + 64)])
+                for k in range(hashed % every, parts, every):
+                    first.append(s + k * LENGTH)
+                    turn.append((hashed // 7 + k) % ROUNDS)
+            place = np.array(first, np.int64)[:, None] + np.arange(LENGTH)[None, :]
+            end = start[np.searchsorted(start, np.array(first, np.int64), side="right")][:, None]
+            before = np.where(np.isin(place, start), BOS, flat[np.clip(place - 1, 0, len(flat) - 1)])
+            rows = classes.input[np.where(place <= end, before, EOS)]
+            target = classes.of[np.where(place < end, flat[np.minimum(place, len(flat) - 1)], EOS)]
+            yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), *[pa.array([x.tobytes() for x in m.astype("<u2")], pa.binary()) for m in (rows, target)]], ["turn", "rows", "target"])
 
     return run
 
@@ -268,9 +286,10 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
 
 
-def train(docs: DataFrame, path: str, classes: Classes) -> Model:
-    spark = docs.sparkSession
-    windows = table(docs.select("text").mapInArrow(_samples(path, classes), "turn int, rows binary, target binary"), "lm-windows")
+def train(texts: DataFrame, classes: Classes) -> Model:
+    """texts: column ids, as ids_of gives them."""
+    spark = texts.sparkSession
+    windows = table(texts.select("ids").mapInArrow(_samples(classes), "turn int, rows binary, target binary"), "lm-windows")
     model = Model.fresh(classes.prior)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     for turn in range(ROUNDS):
@@ -285,77 +304,61 @@ def train(docs: DataFrame, path: str, classes: Classes) -> Model:
     return model
 
 
-def score_windows(model: Model, classes: Classes, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each array of ids (their end included)."""
-    step, out = LENGTH - OVERLAP, np.zeros(len(texts))
-    rows, target, fresh, owner = [], [], [], []
-    for i, ids in enumerate(texts):
-        n = len(ids)
-        count = 1 if n <= LENGTH else 1 + -(-(n - LENGTH) // step)
-        padded = np.full(LENGTH + (count - 1) * step, EOS, np.int64)
-        padded[:n] = ids
-        before = np.r_[BOS, padded[:-1]]
-        at = np.arange(count)[:, None] * step + np.arange(LENGTH)[None, :]
-        ok = at < n
-        ok[1:, :OVERLAP] = False  # the window before has scored them
-        rows.append(classes.input[before][at])
-        target.append(classes.of[padded][at])
-        fresh.append(ok)
-        owner.append(np.repeat(i, count))
-        out[i] = classes.inside[ids].sum()
-    if not rows:
-        return out
-    rows, target, fresh, owner = (np.concatenate(x) for x in (rows, target, fresh, owner))
-    for at in range(0, len(rows), BATCH):
-        part = slice(at, at + BATCH)
-        logs = model.logs(rows[part], target[part], fresh[part])
-        np.add.at(out, np.repeat(owner[part], fresh[part].sum(axis=1)), logs)
+def score_windows(model: Model, classes: Classes, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Natural log probability of each text; flat and start as from ids_of."""
+    step, n = LENGTH - OVERLAP, np.diff(start)
+    out = np.add.reduceat(classes.inside[flat], start[:-1]) if len(n) else np.zeros(0)
+    later = np.maximum(0, -(-(n - LENGTH) // step))  # windows after a text's first, which score what no window before them has
+    rows, target = classes.input[flat], classes.of[flat]
+    bos = classes.input[BOS]
+    owner = np.repeat(np.arange(len(n)), later)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(later) - later, later) + 1
+    for own, k, skip in ((np.arange(len(n)), np.zeros(len(n), np.int64), 0), (owner, nth, OVERLAP)):
+        for part in range(0, len(own), BATCH):
+            o, at = own[part : part + BATCH], k[part : part + BATCH, None] * step + np.arange(LENGTH)[None, :]
+            place, ok = start[o][:, None] + at, at < n[o][:, None]
+            x = rows[np.clip(place - 1, 0, len(rows) - 1)]
+            x[at == 0] = bos
+            logs = model.logs(x, target[np.minimum(place, len(rows) - 1)], skip)
+            np.add.at(out, o, (logs * ok[:, skip:]).sum(axis=1))
     return out
 
 
-def _score(path: str, sent, common, whole: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(path)
-        model, classes = sent.value
-        logs = common.value
-        for b in batches:
-            uid = b.column("uid").to_pylist()
-            n_tokens, known, base, ids, owner, rare, times = [], [], [], [], [], [], []
-            for u, t in zip(uid, b.column("text").to_pylist(), strict=True):
-                words = words_of(t)
-                own = np.fromiter(map(logs.get, words, _nan), np.float64, len(words)) if words else np.zeros(0)
-                missed = np.flatnonzero(np.isnan(own))
-                found = Counter([words[k] for k in missed.tolist()])
-                rare += found.keys()
-                times += found.values()
-                owner += [u] * len(found)
-                n_tokens.append(len(words) + 1)
-                known.append(len(words) - len(missed) + (whole > 0))
-                base.append(float(np.nansum(own)) + logs[None])
-                try:
-                    ids.append(pieces.ids(words))
-                except KeyError:
-                    pieces.learn(set(words))
-                    ids.append(pieces.ids(words))
-            score = score_windows(model, classes, ids) / np.log(10)
-            none = lambda n, kind: pa.nulls(n, kind)
-            names = ["uid", "doc_id", "n_tokens", "known", "base", "score", "word", "times"]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), none(len(uid), pa.binary()), none(len(uid), pa.int64())], names)
-            m = len(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), none(m, b.schema.field("doc_id").type), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names)
+TEXT = "n_tokens long, known long, base double, ids binary"
 
-    return run
 
+def _texts(path: str, common, ends: int):
+    """A row for each text, with its ids; and a row for each of its words that is not common."""
 
-class _Nan:
-    def __iter__(self):
-        return self
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, logs = Pieces.of(path), common.value
+        names = ["uid", "doc_id", "n_tokens", "known", "base", "ids", "word", "times"]
+        for b in gathered(batches):
+            n = b.num_rows
+            words, text = words_of(b.column("text"))
+            at = np.asarray(words.indices)
+            known = np.array([logs.get(w, np.nan) for w in words.dictionary.to_pylist()], float)[at]
+            missed = np.isnan(known)
+            pairs, times = np.unique(text[missed] * len(words.dictionary) + at[missed], return_counts=True)
+            total, held = np.bincount(text, minlength=n), np.bincount(text[~missed], minlength=n)
+            base = np.bincount(text[~missed], known[~missed], minlength=n) + logs[None]
+            uid, doc_id, m = b.column("uid"), b.column("doc_id"), len(pairs)
+            yield pa.RecordBatch.from_arrays([uid, doc_id, pa.array(total + 1, pa.int64()), pa.array(held + (ends > 0), pa.int64()), pa.array(base), ids_of(pieces, words, text, n), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names)
+            of, which = np.divmod(pairs, max(1, len(words.dictionary)))
+            yield pa.RecordBatch.from_arrays([uid.take(pa.array(of)), *[pa.nulls(m, k) for k in (doc_id.type, pa.int64(), pa.int64(), pa.float64(), pa.binary())], words.dictionary.take(pa.array(which)), pa.array(times, pa.int64())], names)
 
-    def __next__(self) -> float:
-        return float("nan")
+    return run
 
 
-_nan = _Nan()
+def _score(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, classes = sent.value
+        for b in batches:
+            score = score_windows(model, classes, *flattened(b.column("ids"))) / np.log(10)
+            keep = [n for n in b.schema.names if n != "ids"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(score, pa.float64())], [*keep, "score"])
+
+    return run
 
 
 def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -370,7 +373,7 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     learn = texts.filter(fold(F.col("doc_id"), 5) != 1)
-    counts = table(learn.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
+    counts = table(learn.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     ends = learn.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     whole, distinct = total.n + ends, total.v + (ends > 0)
@@ -385,7 +388,7 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
         least = head << shift
     below = whole + 0.5 * (distinct + 1)
     log = lambda c: float(np.log10((c + 0.5) / below))
-    common = {bytes(r.word): log(r.c) for r in (counts.filter(F.col("c") >= least).collect() if least < float("inf") else [])}
+    common = {r.word: log(r.c) for r in (counts.filter(F.col("c") >= least).collect() if least < float("inf") else [])}
     common[None] = log(ends)
     pieces = Pieces.of(path)
     ids = np.zeros(pieces.model.get_piece_size())
@@ -393,15 +396,17 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
         ids[r.id] = r.n
     ids[EOS] += ends
     classes = Classes(ids)
-    model = train(learn, path, classes)
 
     numbered = texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     send = spark.sparkContext.broadcast
-    scored = table(numbered.mapInArrow(_score(path, send((model, classes)), send(common), ends), f"uid long, doc_id {kind}, n_tokens long, known long, base double, score double, word binary, times long"), "lm-scored")
-    rare = scored.filter("word is not null").select("uid", "word", "times").join(counts.select("word", "c"), "word", "left")
+    stored = table(numbered.mapInArrow(_texts(path, send(common), ends), f"uid long, doc_id {kind}, {TEXT}, word string, times long"), "lm-texts")
+    whole_texts = stored.filter("word is null").drop("word", "times")
+    model = train(whole_texts.filter(fold(F.col("doc_id"), 5) != 1), classes)
+    scored = whole_texts.mapInArrow(_score(send((model, classes))), f"uid long, doc_id {kind}, n_tokens long, known long, base double, score double")
+    rare = stored.filter("word is not null").select("uid", "word", "times").join(counts.select("word", "c"), "word", "left")
     value = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(below)))
     rare = rare.groupBy("uid").agg(F.sum(F.col("times") * value).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("also"))
-    out = scored.filter("word is null").drop("word", "times").join(rare, "uid", "left")
+    out = scored.join(rare, "uid", "left")
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(int(whole)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 

@@ -384,7 +384,7 @@ def test_model_gradient_and_windows():
     mass = np.bincount(classes.of, np.exp(classes.inside))
     assert np.allclose(mass[mass > 0], 1)
     model = lm_score.Model.fresh(classes.prior)
-    x, y = rng.integers(0, lm_score.INPUTS, (2, 64)), rng.integers(0, 128, (2, 64))
+    x, y = rng.integers(0, lm_score.INPUTS, (2, lm_score.LENGTH)), rng.integers(0, 128, (2, lm_score.LENGTH))
     loss = lambda m: -m.logs(x, y, 0).mean()
     g = model.gradient(x, y)
     for name in ("q", "k", "v", "o", "up", "down", "out", "place"):
@@ -393,26 +393,26 @@ def test_model_gradient_and_windows():
         up[name][at] += 1e-4
         down[name][at] -= 1e-4
         assert (loss(lm_score.Model(up)) - loss(lm_score.Model(down))) / 2e-4 == pytest.approx(g[name][at], rel=0.02)
-    ids = [rng.integers(3, 3000, n) for n in (1, 63, 64, 65, 120, 121, 500)]
+    ids = [rng.integers(3, 3000, n) for n in (1, 31, 32, 33, 60, 61, 500)]
     start = np.r_[0, np.cumsum([len(v) for v in ids])]
     got = lm_score.score_windows(model, classes, np.concatenate(ids), start)
     for v, s in zip(ids, got):
         total, at = classes.inside[v].sum(), 0
         while at < len(v):
             begin = 0 if not at else at - lm_score.OVERLAP
-            before = [lm_score.BOS if i == 0 else v[i - 1] for i in range(begin, min(len(v), begin + 64))]
-            logs = model.logs(classes.input[before][None], classes.of[v[begin : begin + 64]][None], at - begin)
+            before = [lm_score.BOS if i == 0 else v[i - 1] for i in range(begin, min(len(v), begin + lm_score.LENGTH))]
+            logs = model.logs(classes.input[before][None], classes.of[v[begin : begin + lm_score.LENGTH]][None], at - begin)
             total += logs.sum()
-            at = begin + 64
+            at = begin + lm_score.LENGTH
         assert s == pytest.approx(total, rel=1e-5)
 
 
 def test_training_helps():
     rng = np.random.default_rng(1)
     order = rng.permutation(100)
-    seqs = np.zeros((400, 65), np.int64)
-    seqs[:, 0] = rng.integers(0, 100, 400)
-    for t in range(64):
+    seqs = np.zeros((800, lm_score.LENGTH + 1), np.int64)
+    seqs[:, 0] = rng.integers(0, 100, 800)
+    for t in range(lm_score.LENGTH):
         seqs[:, t + 1] = order[seqs[:, t]]
     prior = np.log(np.full(128, 1 / 128))
     model = lm_score.Model.fresh(prior)
