@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,19 +31,48 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    made(spark).append(path)
     return out
 
 
+#: Where the shared folder is on a local file system: no checksum file beside each file. For either, Hadoop starts a process on the executor.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Paths that table() has written, by application.
+_made: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what table() wrote, once nothing reads it any more."""
     path = getattr(df, "_stored_at", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+    if path in made(df.sparkSession):
+        _delete(df.sparkSession, path)
+        made(df.sparkSession).remove(path)
+
+
+def made(spark: SparkSession) -> list[str]:
+    """The paths that table() has written and that are still there."""
+    return _made.setdefault(spark.sparkContext.applicationId, [])
+
+
+def forget_paths(spark: SparkSession, paths: list[str], keep: DataFrame) -> list[str]:
+    """Delete what table() wrote to these paths, but for those that keep reads, which are returned."""
+    read = [re.sub("^file:/+", "/", f) for f in keep.inputFiles()] if paths else []
+    held = []
+    for path in paths:
+        if any(f.startswith(re.sub("^file:/+", "/", path) + "/") for f in read):
+            held.append(path)
+        elif path in made(spark):
+            _delete(spark, path)
+            made(spark).remove(path)
+    return held
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +109,11 @@ def ship(spark: SparkSession) -> None:
     sc._shipped = str(top)
 
 
+def fewer(df: DataFrame, by: int = 3) -> DataFrame:
+    """df, whose plan has no shuffle, in fewer tasks: for light work on each split, whose results would be many small files."""
+    return df.coalesce(max(1, -(-df.rdd.getNumPartitions() // by)))
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Before Python runs on executors: Arrow batches of a few hundred rows, as one text may have megabytes."""
     ship(spark)

@@ -25,32 +25,34 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, small_batches, table
+from .common import fewer, load, small_batches, table
 
 MIN_WORDS = 10
 
 
 def _lines(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows, with a list for each of what their lines have: halves of the hash, and the lengths of the shortest runs."""
         for b in batches:
-            uids, at, high, low, on, back = [], [], [], [], [], []
-            for uid, text in zip(b.column("uid").to_pylist(), b.column("__text").to_pylist(), strict=True):
+            high, low, on, back, upto_row = [], [], [], [], [0]
+            for text in b.column("__text").to_pylist():
                 lines = [(x, n) for x in (text or "").encode("utf-8", "replace").split(b"\n") if (n := len(x.split()))]
+                upto_row.append(upto_row[-1] + len(lines))
                 if not lines:
                     continue
                 upto = np.concatenate([[0], np.cumsum([n for _, n in lines])])
                 k = np.arange(len(lines))
                 end = np.searchsorted(upto, upto[:-1] + min_words)  # one after the shortest run from k on
                 start = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
-                uids += [uid] * len(lines)
-                at += k.tolist()
                 on += np.where(end <= len(lines), end - k, 0).tolist()
                 back += np.where(start >= 0, k - start + 1, 0).tolist()
                 for x, _ in lines:
                     h = xxhash.xxh3_128_intdigest(x)
                     high.append((h >> 64) - (1 << 63))
                     low.append((h & ((1 << 64) - 1)) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(at, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(on, pa.int32()), pa.array(back, pa.int32())], ["uid", "j", "a", "b", "run_on", "run_back"])
+            offsets = pa.array(upto_row, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v, kind)) for v, kind in ((high, pa.int64()), (low, pa.int64()), (on, pa.int32()), (back, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], [*b.schema.names, "a", "b", "run_on", "run_back"])
 
     return run
 
@@ -126,18 +128,34 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     names = [c for c in docs.columns if c not in ("deleted_lines", "n_lines", "uid", "spans", "__text")]
-    stored = table(docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(names) if c != "text"], F.col("text").cast("string").alias("__text"), F.monotonically_increasing_id().alias("uid")), "line-docs")
+    cols = [f"__c{i}" if c != "text" else "__text" for i, c in enumerate(names)]
+    kinds = ", ".join(f"`{c}` {docs.schema[n].dataType.simpleString() if n != 'text' else 'string'}" for c, n in zip(cols, names, strict=True))
+    numbered = docs.select(*[F.col(n).cast("string").alias(c) if n == "text" else F.col(n).alias(c) for c, n in zip(cols, names, strict=True)], F.monotonically_increasing_id().alias("uid"))
+    stored = table(fewer(numbered).mapInArrow(_lines(min_words), f"{kinds}, uid long, a array<long>, b array<long>, run_on array<int>, run_back array<int>"), "line-docs")
     key = f"__c{names.index('doc_id')}"
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64("__text").alias("hash"), F.col("uid").alias("row"))
-    lines = table(stored.select("uid", "__text").mapInArrow(_lines(min_words), "uid long, j int, a long, b long, run_on int, run_back int"), "lines")
+    lines = stored.select("uid", F.posexplode(F.arrays_zip("a", "b", "run_on", "run_back")).alias("j", "x")).select("uid", "j", "x.*")
     spans = later_runs(lines, stored.select("uid", place.alias("place"))).groupBy("uid").agg(F.collect_list(F.struct("s", "len")).alias("spans"))  # at most two spans a line of one document
-    joined = stored.join(spans.withColumnRenamed("uid", "uid_"), F.col("uid") == F.col("uid_"), "left").drop("uid", "uid_")
-    cols = [f"__c{i}" if c != "text" else "__text" for i, c in enumerate(names)]
+    joined = stored.select(*cols, "uid").join(spans.withColumnRenamed("uid", "uid_"), F.col("uid") == F.col("uid_"), "left")
     out = [*cols, "__gone", "__lines"]
-    schema = ", ".join(f"`{c}` {docs.schema[n].dataType.simpleString() if n != 'text' else 'string'}" for c, n in zip(cols, names, strict=True)) + ", `__gone` array<int>, `__lines` int"
-    return joined.select(*cols, "spans").mapInArrow(_rewrite(out), schema).toDF(*names, "deleted_lines", "n_lines")
+    return joined.select(*cols, "spans").mapInArrow(_rewrite(out), f"{kinds}, `__gone` array<int>, `__lines` int").toDF(*names, "deleted_lines", "n_lines")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.size("deleted_lines").alias("n_deleted"), "deleted_lines", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("deleted_lines").cast("long").alias("n_deleted"), F.array_join("deleted_lines", " ").alias("deleted_lines"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+def oracle() -> str:
+    same = f"a.doc_id = b.doc_id AND a.j <= b.j AND b.upto - a.upto + a.n >= {MIN_WORDS}"
+    return f"""
+WITH split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
+counted AS (SELECT *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n FROM split),
+w AS (SELECT *, row_number() OVER d AS j, sum(n) OVER d AS upto FROM counted WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY line)),
+runs AS (SELECT a.doc_id, a.j AS s, min(b.j) AS e FROM w a JOIN w b ON {same} GROUP BY ALL UNION SELECT b.doc_id, max(a.j), b.j FROM w a JOIN w b ON {same} GROUP BY b.doc_id, b.j),
+held AS (SELECT r.doc_id, r.s, r.e, string_agg(x, chr(10) ORDER BY w.j) AS content FROM runs r JOIN w ON w.doc_id = r.doc_id AND w.j BETWEEN r.s AND r.e GROUP BY ALL),
+later AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS nth FROM held) WHERE nth > 1),
+gone AS (SELECT DISTINCT w.doc_id, w.line FROM later r JOIN w ON w.doc_id = r.doc_id AND w.j BETWEEN r.s AND r.e),
+total AS (SELECT c.doc_id, count(*) FILTER (n > 0) AS n_lines, count(g.line) AS n_deleted, coalesce(string_agg(CAST(g.line AS VARCHAR), ' ' ORDER BY g.line), '') AS deleted_lines,
+  coalesce(string_agg(x, chr(10) ORDER BY c.line) FILTER (g.line IS NULL), '') AS rest FROM counted c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.line = c.line GROUP BY c.doc_id)
+SELECT doc_id, n_lines, n_deleted, deleted_lines, md5(CASE WHEN n_deleted > 0 AND n_deleted = n_lines THEN '' ELSE rest END) AS text_md5 FROM total"""
