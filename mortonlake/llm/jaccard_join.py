@@ -294,3 +294,19 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(with_uid(load(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "class_id", "copies_of", "copies", "n_links")
+
+
+def oracle() -> str:
+    """Every pair that shares a shingle, and the closure of the links: for small tables with unique doc_id."""
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - {SHINGLE - 1}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')))) END AS g FROM words),
+each AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM each a JOIN each b USING (x) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs WHERE similarity >= {THRESHOLD} UNION ALL SELECT b, a FROM pairs WHERE similarity >= {THRESHOLD}),
+reached(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reached GROUP BY a),
+counts AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
+SELECT s.doc_id, class_id, CASE WHEN len(g) > 0 THEN min(s.doc_id) OVER (PARTITION BY g) ELSE s.doc_id END AS copies_of, CASE WHEN len(g) > 0 THEN count(*) OVER (PARTITION BY g) ELSE 1 END AS copies, coalesce(n, 0) AS n_links
+FROM sets s JOIN classes USING (doc_id) LEFT JOIN counts USING (doc_id)"""

@@ -17,6 +17,8 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op3_line_dedup": line_dedup.oracle(),
+    "op8_jaccard_join": jaccard_join.oracle(),
     "op5_quality_rules": quality_rules.oracle(),
     "op7_url_filter": url_filter.oracle(),
 }
