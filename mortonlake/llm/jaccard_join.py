@@ -287,9 +287,10 @@ def with_uid(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class: that of the least doc_id. Texts without words are kept."""
-    stored = with_uid(docs)
+    inner = [f"__c{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(docs.columns)]
+    stored = with_uid(docs.toDF(*inner))
     found = near_duplicates(stored, **options).filter("keep").select(F.col("uid").alias("uid_"))
-    return stored.join(found, F.col("uid") == F.col("uid_"), "left_semi").select(*docs.columns)
+    return stored.join(found, F.col("uid") == F.col("uid_"), "left_semi").select(*inner).toDF(*docs.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

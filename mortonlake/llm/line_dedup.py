@@ -127,7 +127,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    names = [c for c in docs.columns if c not in ("deleted_lines", "n_lines", "uid", "spans", "__text")]
+    names = [c for c in docs.columns if c not in ("deleted_lines", "n_lines")]
     cols = [f"__c{i}" if c != "text" else "__text" for i, c in enumerate(names)]
     kinds = ", ".join(f"`{c}` {docs.schema[n].dataType.simpleString() if n != 'text' else 'string'}" for c, n in zip(cols, names, strict=True))
     numbered = docs.select(*[F.col(n).cast("string").alias(c) if n == "text" else F.col(n).alias(c) for c, n in zip(cols, names, strict=True)], F.monotonically_increasing_id().alias("uid"))

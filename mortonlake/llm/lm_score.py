@@ -30,7 +30,7 @@ from .common import fold, forget, gathered, load, small_batches, table
 
 MODEL, BOS, EOS = "piece_bpe_32k.model", 1, 2
 LENGTH, OVERLAP, BATCH, WIDTH, HIDDEN = 32, 4, 64, 16, 32
-SINGLES, BINS, INPUTS = 112, 16, 2048
+SINGLES, BINS, INPUTS = 176, 16, 2048
 TRAIN_EVERY, ROUNDS, RATE, TRAIN_BATCH = 16, 4, 0.02, 64
 COMMON, REMEMBERED = 200_000, 400_000
 

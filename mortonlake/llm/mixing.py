@@ -88,10 +88,10 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None
     each = each.withColumns({"whole": F.floor("repeats"), "order": F.xxhash64(F.lit(seed), F.floor("repeats"), F.coalesce("source", F.lit("")), "__block")})
     upto = Window.partitionBy("source").orderBy("order", "__block").rowsBetween(Window.unboundedPreceding, 0)  # at most `blocks` rows a source
     each = each.withColumn("upto", F.sum("n_tokens").over(upto)).withColumn("times", F.col("whole") + F.when(F.col("upto") <= F.round((F.col("repeats") - F.col("whole")) * F.col("tokens")), 1).otherwise(0))
-    each = table(each.select(F.col("source").alias("source_"), F.col("__block").alias("block_"), F.col("times").alias("__times")), "mixing-times")
+    each = table(each.select(F.col("source").alias("__source"), F.col("__block").alias("__of"), F.col("times").alias("__times")), "mixing-times")
     if each.count() <= 2_000_000:
         each = F.broadcast(each)
-    used = base.join(each, F.col("source").eqNullSafe(F.col("source_")) & (F.col("__block") == F.col("block_")))
+    used = base.join(each, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__of")))
     used = used.filter("__times > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, __times - 1)")))
     order = F.xxhash64(F.lit(seed), F.col("epoch"), F.coalesce("source", F.lit("")), F.col("__block"))
     return used.select(*names, "epoch", order.alias("block_order"))

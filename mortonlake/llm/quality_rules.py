@@ -116,16 +116,16 @@ def fences(measured: DataFrame, width: int = WIDTH, min_group: int = MIN_GROUP)
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """measured with base_failed, failed (names of the metrics outside their fences) and kept."""
-    limits = limits.drop("docs").withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    limits = limits.drop("docs").withColumnsRenamed({c: f"__{c}" for c in limits.columns})
     limits = table(limits, "quality-fences")
     if limits.count() <= GROUPS_BROADCAST:
         limits = F.broadcast(limits)
-    joined = measured.drop("base_failed", "failed", "kept").join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
+    joined = measured.drop("base_failed", "failed", "kept").join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     bad = []
     for m in METRICS:
-        outside = _metric(m) > F.col(f"high_{m}")
+        outside = _metric(m) > F.col(f"__high_{m}")
         if METRICS[m][4]:
-            outside = outside | (_metric(m) < F.col(f"low_{m}"))
+            outside = outside | (_metric(m) < F.col(f"__low_{m}"))
         bad.append(F.when(outside, F.lit(m)))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return joined.select(*[measured[c] for c in measured.columns if c not in ("base_failed", "failed", "kept")], base.alias("base_failed"), F.filter(F.array(*bad), lambda x: x.isNotNull()).alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))

@@ -146,8 +146,8 @@ class Cascade:
                 out[r[0]][r[1]] = r[2]
         return {s: x.view(np.uint8) for s, x in out.items()}
 
-    def test(self, df: DataFrame, name: str, array: bool = False) -> DataFrame:
-        """df (columns h1, h2, or arrays of them) with the depth of each key: odd is listed."""
+    def test(self, df: DataFrame, name: str, array: bool = False, hashed: tuple[str, str] = ("h1", "h2")) -> DataFrame:
+        """df (columns `hashed`, or arrays of them) with the depth of each key: odd is listed."""
         kind = "array<bigint>" if array else "bigint"
         shards = self.shards
         for k, group in enumerate(self._groups()):
@@ -163,7 +163,7 @@ class Cascade:
                 got = _depth(sent.value, *flat, shards)
                 return pd.Series(np.split(got, np.cumsum([len(x) for x in h1])[:-1])) if len(h1) else pd.Series([], dtype=object)
 
-            step = depth(F.col("h1"), F.col("h2"))
+            step = depth(*map(F.col, hashed))
             df = df.withColumn(name, step) if not k else df.withColumn(f"{name}_", step).withColumn(name, F.zip_with(name, f"{name}_", lambda a, b: F.greatest(a, b)) if array else F.greatest(name, f"{name}_")).drop(f"{name}_")
         return df
 
@@ -183,21 +183,21 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     """
     spark = pages.sparkSession
     small_batches(spark, 5000)
-    made = ("host", "path", "rule", "verdict", "keys", "h1", "h2", "__block", "__allow")
+    made = ("host", "path", "rule", "verdict")
     rules = rules.select(F.concat("host", "path").alias("key"), F.char_length("path").alias("n"), "verdict").distinct()
     lengths = sorted(r[0] for r in rules.select("n").distinct().collect())  # path lengths that rules have: some hundreds at most
     urls = pages.drop(*made).withColumns({"host": host_of(), "path": path_of()})
-    keyed = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
+    keyed = urls.withColumn("__keys", keys_of(F.col("host"), F.col("path"), lengths))
     universe = urls.select("host", "path").distinct().select(F.explode(keys_of(F.col("host"), F.col("path"), lengths)).alias("key")).distinct()
     universe = table(universe.select(*[h.alias(f"h{i}") for i, h in enumerate(hashes(F.col("key")), 1)]), "bloom-universe")
     cascades = {}
     for verdict in ("block", "allow"):
         listed = rules.filter(F.col("verdict") == verdict).select(*[h.alias(f"h{i}") for i, h in enumerate(hashes(F.col("key")), 1)])
         cascades[verdict] = Cascade(spark, listed, universe)
-    out = keyed.withColumns({"h1": F.transform("keys", lambda k: hashes(k)[0]), "h2": F.transform("keys", lambda k: hashes(k)[1])})
+    out = keyed.withColumns({"__h1": F.transform("__keys", lambda k: hashes(k)[0]), "__h2": F.transform("__keys", lambda k: hashes(k)[1])})
     for verdict, cascade in cascades.items():
-        out = cascade.test(out, f"__{verdict}", array=True) if cascade.levels else out.withColumn(f"__{verdict}", F.transform("keys", lambda k: F.lit(0).cast("long")))
-    hit = F.filter(F.transform("keys", lambda k, i: F.when(F.get("__block", i) % 2 == 1, F.struct(k.alias("rule"), F.lit("block").alias("verdict"))).when(F.get("__allow", i) % 2 == 1, F.struct(k.alias("rule"), F.lit("allow").alias("verdict")))), lambda x: x.isNotNull())
+        out = cascade.test(out, f"__{verdict}", True, ("__h1", "__h2")) if cascade.levels else out.withColumn(f"__{verdict}", F.transform("__keys", lambda k: F.lit(0).cast("long")))
+    hit = F.filter(F.transform("__keys", lambda k, i: F.when(F.get("__block", i) % 2 == 1, F.struct(k.alias("rule"), F.lit("block").alias("verdict"))).when(F.get("__allow", i) % 2 == 1, F.struct(k.alias("rule"), F.lit("allow").alias("verdict")))), lambda x: x.isNotNull())
     out = out.withColumn("__hit", F.get(hit, F.lit(0)))
     return out.select(*urls.columns, F.col("__hit.rule").alias("rule"), F.coalesce("__hit.verdict", F.lit(default)).alias("verdict"))
 

@@ -40,14 +40,14 @@ def words(t):
 
 
 def test_quality_rules(docs, none):
-    got = quality_rules.quality_rules(docs).collect()
+    got = quality_rules.quality_rules(docs.withColumn("lang_", F.lit(3))).collect()
     assert len(got) == len(rows()) and quality_rules.quality_rules(none).count() == 0
     for r in got:
         w = (r.text or "").split()
         if r.doc_id != 9:
             assert r.n_words == len(w) and r.word_chars == sum(map(len, w))
         assert r.base_failed == (len(w) < 50) and (r.kept or r.base_failed or r.failed)
-        assert r.uid == "x"
+        assert r.uid == "x" and r.lang_ == 3
 
 
 def test_repeat_words(spark):
@@ -120,11 +120,12 @@ def test_line_dedup(spark, docs, none):
     rng = np.random.default_rng(4)
     pool = [sentence(k, int(rng.integers(1, 7))) for k in range(9)]
     texts = ["\n".join(rng.choice([*pool, "", " "], rng.integers(1, 14))) for _ in range(60)] + [None, "", "\n"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("deleted_lines", F.lit(1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"deleted_lines": F.lit(1), "uid": F.lit("x"), "spans": F.lit(5)})
     for least in (1, 4, 10, 17):
         want = brute_lines(list(enumerate(texts)), least)
         for r in line_dedup.line_dedup(df, least).collect():
             assert set(r.deleted_lines) == want[r.doc_id], (least, r.doc_id)
+            assert r.uid == "x" and r.spans == 5
             if r.deleted_lines and r.text:
                 assert r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in want[r.doc_id])
             elif not r.deleted_lines:
@@ -173,6 +174,7 @@ def test_jaccard_join(spark, light, block):
 def test_near_duplicates_edges(docs, none):
     kept = jaccard_join.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and jaccard_join.drop_near_duplicates(none).count() == 0
+    assert {r.uid for r in kept.collect()} == {"x"}
     assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 7, 9, 10, 11, 12, 13]
 
 
@@ -265,7 +267,7 @@ URLS = ["http://www.Example.com/en/1?x", "https://a.example.com/en/", "https://e
 
 def test_url_filter(spark):
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
-    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(URLS * 2)], "page_id long, url string, rule string")
+    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(URLS * 2)], "page_id long, url string, rule string").withColumns({"h1": F.lit(1), "keys": F.lit(2)})
 
     def brute(u):
         if not u or "://" not in u:
@@ -280,6 +282,7 @@ def test_url_filter(spark):
 
     for r in url_filter.url_filter(pages, rules).collect():
         assert (r.host, r.path, r.rule, r.verdict) == brute(r.url), r.url
+        assert (r.h1, r["keys"]) == (1, 2)
     assert url_filter.url_filter(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.url_filter(pages, rules.limit(0)).collect()} == {"allow"}
 
@@ -384,7 +387,7 @@ def test_model_gradient_and_windows():
     mass = np.bincount(classes.of, np.exp(classes.inside))
     assert np.allclose(mass[mass > 0], 1)
     model = lm_score.Model.fresh(classes.prior)
-    x, y = rng.integers(0, lm_score.INPUTS, (2, lm_score.LENGTH)), rng.integers(0, 128, (2, lm_score.LENGTH))
+    x, y = rng.integers(0, lm_score.INPUTS, (2, lm_score.LENGTH)), rng.integers(0, len(classes.prior), (2, lm_score.LENGTH))
     loss = lambda m: -m.logs(x, y, 0).mean()
     g = model.gradient(x, y)
     for name in ("q", "k", "v", "o", "up", "down", "out", "place"):
