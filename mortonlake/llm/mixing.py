@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, load, table, text_of
 
-MAX_REPEATS, BLOCKS, SEED, POINTS, ROUNDS = 2.0, 1024, 17, 16, 8
+MAX_REPEATS, BLOCKS, SEED, POINTS, ROUNDS, BROADCAST_ROWS = 2.0, 1024, 17, 16, 8, 200_000
 
 
 def word_count() -> Column:
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None
     upto = Window.partitionBy("source").orderBy("order", "__block").rowsBetween(Window.unboundedPreceding, 0)  # at most `blocks` rows a source
     each = each.withColumn("upto", F.sum("n_tokens").over(upto)).withColumn("times", F.col("whole") + F.when(F.col("upto") <= F.round((F.col("repeats") - F.col("whole")) * F.col("tokens")), 1).otherwise(0))
     each = table(each.select(F.col("source").alias("__source"), F.col("__block").alias("__of"), F.col("times").alias("__times")), "mixing-times")
-    if each.count() <= 2_000_000:
+    if each.count() <= BROADCAST_ROWS:
         each = F.broadcast(each)
     used = base.join(each, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__of")))
     used = used.filter("__times > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, __times - 1)")))

@@ -10,8 +10,10 @@ that rejects a key then tells exactly whether it is listed, for every key of the
 universe, without a join against the list.
 
 Levels are built shard by shard of the keys' hash, so that no filter exceeds
-SHARD_KEYS keys, and bits are set where the keys are: tasks send their own
-bitmaps, which are merged by OR.
+SHARD_KEYS keys, and bits are set where the keys are: tasks send the words of
+their own bitmaps, which are merged by OR. The driver holds the filters, about 1.5
+bytes for each listed key, and sends at most BROADCAST_BYTES at a time; keys of further
+shards take further passes.
 """
 
 from __future__ import annotations
@@ -140,10 +142,11 @@ class Cascade:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s)), pa.array(at), pa.array(words[at])], ["s", "word", "bits"])
 
         merged = inside.mapInArrow(run, "s long, word long, bits long").groupBy("s", "word").agg(F.bit_or("bits").alias("bits"))
+        merged = table(merged, "bloom-bits") if len(bits) > 1 else merged
         out = {s: np.zeros(n // 64, np.int64) for s, n in bits.items()}
-        for s in out:  # a shard at a time: SHARD_KEYS bounds what comes to the driver
-            for r in merged.filter(F.col("s") == s).toLocalIterator() if len(out) > 1 else merged.collect():
-                out[r[0]][r[1]] = r[2]
+        for s in out:  # a shard at a time: SHARD_KEYS bounds the rows that come to the driver at once
+            for r in merged.filter(F.col("s") == s).collect():
+                out[s][r[1]] = r[2]
         return {s: x.view(np.uint8) for s, x in out.items()}
 
     def test(self, df: DataFrame, name: str, array: bool = False, hashed: tuple[str, str] = ("h1", "h2")) -> DataFrame:

@@ -1,14 +1,17 @@
 """The registered queries and the pipeline over the smallest tables."""
 
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from mortonlake.llm import queries
+from mortonlake.llm import line_dedup, mixing, packing, quality_rules, queries
+from mortonlake.llm.common import table
 
 from ..conftest import DATA
+from .test_small import brute_lines, check_pieces, jaccard_sets
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -36,21 +39,61 @@ def test_neighbours_recall(spark, duck):
 
 
 def test_pipeline(spark, duck):
+    """Each stage's result equals a brute-force version of it on what the stage before kept."""
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality rules", "line dedup", "n-gram Jaccard join", "mixing sources to target weights", "packing"]
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    before = docs
+    read, before = [], docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, before, DATA)
         assert after.columns == docs.columns and dict(after.dtypes) == dict(docs.dtypes)
-        from mortonlake.llm.common import table
-
         before = table(after, "test-stage")
-        assert 0 < before.count()
+        read.append(sorted(before.collect(), key=lambda r: r.doc_id))
+    ruled, lined, alone, mixed = read
+
+    assert [r.doc_id for r in ruled] == [x for (x,) in duck.sql(f"SELECT doc_id FROM ({quality_rules.oracle()}) WHERE kept ORDER BY 1").fetchall()]
+
+    gone = brute_lines([(r.doc_id, r.text) for r in ruled], line_dedup.MIN_WORDS)
+    want = {}
+    for k, r in enumerate(ruled):
+        lines = r.text.split("\n")
+        if len(gone[k]) < sum(bool(x.encode().split()) for x in lines):
+            want[r.doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone[k])
+    assert {r.doc_id: r.text for r in lined} == want and all(r.n_chars == len(r.text) for r in lined)
+
+    sets, seen, least = jaccard_sets([r.text for r in lined]), set(), []
+    for i in range(len(lined)):
+        if i in seen:
+            continue
+        least.append(lined[i].doc_id)
+        todo = [i]
+        while todo:
+            x = todo.pop()
+            seen.add(x)
+            todo += [y for y in range(len(lined)) if y not in seen and sets[x] and sets[y] and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8]
+    assert [r.doc_id for r in alone] == least
+
+    used = Counter(r.doc_id for r in mixed)
+    assert set(used) == set(least) and max(used.values()) <= 2
+    tokens, drawn = Counter(), Counter()
+    for r in alone:
+        tokens[r.source] += len(r.text.encode().split())
+        drawn[r.source] += len(r.text.encode().split()) * used[r.doc_id]
+    most = max(tokens.values())
+    repeats = {s: drawn[s] / n for s, n in tokens.items()}
+    assert repeats[max(tokens, key=tokens.get)] == 1 and max(repeats.values()) <= mixing.MAX_REPEATS
+    a = 1 - np.log(mixing.MAX_REPEATS) / np.log(most / min(tokens.values()))
+    for s, n in tokens.items():
+        share = max(len(r.text.encode().split()) for r in alone if r.source == s) / n  # a block is a document here
+        assert (most / n) ** (1 - a) - share - 1e-3 <= repeats[s] <= (most / n) ** (1 - a) + 1e-3
+
     pieces = corpus_pipeline.STAGES[-1][1](spark, before, DATA).collect()
-    used = defaultdict(int)
-    for p in pieces:
-        used[p.sequence_id] += p.length
-    assert max(used.values()) <= 4096 and all(n & (n - 1) == 0 for n in used.values())
-    assert {p.doc_id for p in pieces} == {r.doc_id for r in before.select("doc_id").collect()}
+    by_doc, by_seq = check_pieces(None, pieces)
+    assert all(n & (n - 1) == 0 for n in (sum(x for _, x in parts) for parts in by_seq.values()))
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    for r in alone:
+        ids = [*tok.encode(r.text, add_special_tokens=False).ids, 2]
+        assert sum(p.length for p in by_doc[r.doc_id]) == len(ids) * used[r.doc_id]
+        for p in by_doc[r.doc_id]:
+            assert p.ids == np.array(ids[p.start : p.start + p.length], "<u4").tobytes()
     assert corpus_pipeline.run(spark, DATA).count() == len(pieces)
