@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mortonlake.llm.common import table
+from mortonlake.llm.common import forget, forget_paths, made, table
 from mortonlake.llm.jaccard_join import drop_near_duplicates
 from mortonlake.llm.line_dedup import line_dedup
 from mortonlake.llm.mixing import mix
@@ -39,12 +41,31 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
+#: Paths of what stages have left in the shared folder, by application.
+_left: dict[str, list[str]] = {}
+
+
+def _stage(work):
+    """The stage, after the tables that earlier stages worked with have gone: their results are written by then."""
+
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        left = forget_paths(spark, _left.get(app, []), docs)
+        before = {*made(spark)}
+        out = work(spark, docs, sf_dir)
+        _left[app] = left + [p for p in made(spark) if p not in before]
+        return out
+
+    return run
+
+
 STAGES = [
-    ("quality rules", rules),
-    ("line dedup", lines),
-    ("n-gram Jaccard join", near),
-    ("mixing sources to target weights", mixture),
-    ("packing", packed),
+    ("quality rules", _stage(rules)),
+    ("line dedup", _stage(lines)),
+    ("n-gram Jaccard join", _stage(near)),
+    ("mixing sources to target weights", _stage(mixture)),
+    ("packing", _stage(packed)),
 ]
 #: Packing and the mixing weights cannot be expressed in SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None
@@ -53,5 +74,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        done = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
