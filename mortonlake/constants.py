@@ -9,4 +9,5 @@ KM_PER_DEGREE = 111.32
 AXIS_BITS = 32
 AXIS_MAX = 4294967295
 LEAST_COSINE = 1e-10
+EVEN_BITS = 0x5555555555555555
 SIGN = -(1 << 63)

@@ -1,9 +1,9 @@
 """Morton (Z-order) codes: latitude on the even bits, longitude on the odd bits.
 
 Spark has no unsigned long, so a code z is kept as z_ord = z XOR 2**63: the signed order
-of z_ord is the unsigned order of z. A 32-bit number is spread by four table look-ups and a
-64-bit one compacted by eight. An expression mentions its input that often and no more,
-so Catalyst can fold it into a filter, where masks and shifts would double it at each step.
+of z_ord is the unsigned order of z. Binary digits read as digits of base 4 are spread
+bits, and the other way round compacted ones, so either expression mentions its input
+once, and Catalyst can fold it into a filter. Masks and shifts would double it at each step.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import AXIS_MAX, MAX_LAT, MAX_LNG, MIN_LAT, MIN_LNG, SIGN
+from ..constants import AXIS_MAX, EVEN_BITS, MAX_LAT, MAX_LNG, MIN_LAT, MIN_LNG, SIGN
 
 _SPREAD = [sum((b >> i & 1) << (2 * i) for i in range(8)) for b in range(256)]
 _COMPACT = [sum((b >> (2 * i) & 1) << i for i in range(4)) for b in range(256)]
@@ -55,29 +55,14 @@ def encode_ordered(lat: float, lng: float) -> int:
 # --- columns ---------------------------------------------------------------------
 
 
-def _table(values: list[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
-
-
-def _look_up(table: list[int], n: Column, shift: int) -> Column:
-    byte = (F.shiftrightunsigned(n, shift) if shift else n).bitwiseAND(F.lit(255)).cast("int")
-    return F.get(_table(table), byte)
-
-
 def spread_bits(n: Column) -> Column:
     """Bit i of the low 32 bits goes to bit 2 i."""
-    out = _look_up(_SPREAD, n, 0)
-    for k in range(1, 4):
-        out = out.bitwiseOR(F.shiftleft(_look_up(_SPREAD, n, 8 * k), 16 * k))
-    return out
+    return F.conv(F.bin(n.bitwiseAND(F.lit(AXIS_MAX))), 4, 10).cast("bigint")
 
 
 def compact_bits(z: Column) -> Column:
     """The even bits of a 64-bit number; odd bits are ignored."""
-    out = _look_up(_COMPACT, z, 0)
-    for k in range(1, 8):
-        out = out.bitwiseOR(F.shiftleft(_look_up(_COMPACT, z, 8 * k), 4 * k))
-    return out
+    return F.conv(F.conv(z.bitwiseAND(F.lit(EVEN_BITS)).cast("string"), 10, 4), 2, 10).cast("bigint")
 
 
 def _axis(value: Column, low: float, high: float) -> Column:
