@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import gathered, load, running, small_batches, table
 
-WINDOW, END_ID, CACHE, FREQUENT, SWEEPS = 4096, 2, 1_000_000, 64, 30
+WINDOW, END_ID, CACHE, FREQUENT, SWEEPS = 4096, 2, 700_000, 64, 30
 TOKENIZER = "word_bpe_49k.json"
 
 _loaded: dict = {}
@@ -44,30 +44,49 @@ class Chunks:
     """Ids of texts, as little-endian unsigned 32-bit numbers, by chunks between ASCII white space and edges.
 
     The tokeniser lower-cases, and its pieces never reach over white space or from a letter to a
-    symbol, so a lower-cased chunk always has the same ids. Arrow splits the texts
-    and finds their distinct chunks; these are looked up, and Arrow joins the ids.
-    At most CACHE chunks are remembered, some 250 MB.
+    symbol, so a lower-cased chunk always has the same ids. Arrow splits the texts, finds
+    their distinct chunks, looks these up and joins the ids; only new chunks are Python
+    objects. At most CACHE chunks are remembered, some 50 MB.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.of, self.known = Tokenizer.from_file(path), {}
-
-    def ids(self, chunks: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        ids = [*map(known.get, chunks)]
-        new = [w for w, x in zip(chunks, ids, strict=True) if x is None]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            encoded = [e.ids for e in self.of.encode_batch_fast(some, add_special_tokens=False)]
-            raw, upto = np.fromiter((i for x in encoded for i in x), "<u4").tobytes(), 0
-            for w, x in zip(some, encoded, strict=True):
-                known[w] = raw[upto : (upto := upto + 4 * len(x))]
-        return [known[w] if x is None else x for w, x in zip(chunks, ids, strict=True)] if new else ids
+        self.of = Tokenizer.from_file(path)
+        self.chunks, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        # new chunks are encoded together, apart by a chunk that is one id
+        self.bar = next((x for x in "\u00a7\u00b6\u00a9" if len(self.of.encode(x, add_special_tokens=False).ids) == 1), None)
+        self.bar_id = self.of.encode(self.bar, add_special_tokens=False).ids[0] if self.bar else -1
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 1024):
+            some = chunks[at : at + 1024]
+            text = f" {self.bar} ".join(some)
+            if self.bar is None or "<|" in text or any(self.bar in w for w in some):
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch_fast(some, add_special_tokens=False)]
+                continue
+            ids = np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.bar_id).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for e in ends:
+                out.append(raw[4 * start : 4 * e])
+                start = e + 1
+        return out
+
+    def look_up(self, chunks: pa.Array) -> pa.Array:
+        """The ids of distinct chunks."""
+        if len(self.chunks) > CACHE:
+            self.chunks, self.ids = self.chunks[:0], self.ids[:0]
+        at = pc.index_in(chunks, value_set=self.chunks)
+        new = chunks.filter(pc.is_null(at))
+        at = np.array(at.fill_null(-1))
+        if len(new):
+            at[at < 0] = len(self.chunks) + np.arange(len(new))
+            self.chunks = pa.concat_arrays([self.chunks, new])
+            self.ids = pa.concat_arrays([self.ids, pa.array(self._encode(new.to_pylist()), pa.binary())])
+        return self.ids.take(pa.array(at))
 
     def encode(self, texts: pa.Array) -> pa.Array:
         texts = texts.fill_null("")
@@ -75,8 +94,7 @@ class Chunks:
         # a text with a special token in it stays as it is
         words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, marked))
         each = words.flatten().dictionary_encode()
-        found = pa.array(self.ids(each.dictionary.to_pylist()), pa.binary()).take(each.indices)
-        return pc.binary_join(pa.ListArray.from_arrays(words.offsets, found), b"")
+        return pc.binary_join(pa.ListArray.from_arrays(words.offsets, self.look_up(each.dictionary).take(each.indices)), b"")
 
 
 def _tokenise(path: str, end_id: int):
@@ -87,6 +105,7 @@ def _tokenise(path: str, end_id: int):
         for b in gathered(batches):
             ids = pc.binary_join_element_wise(_loaded[path].encode(b.column("__text")), end, b"")
             names = [n for n in b.schema.names if n != "__text"]
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], ids, pc.cast(pc.divide(pc.binary_length(ids), 4), pa.int64())], [*names, "ids", "n_tokens"])
 
     return run
