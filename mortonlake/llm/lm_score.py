@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +33,19 @@ MODEL, BOS, EOS = "piece_bpe_32k.model", 1, 2
 LENGTH, OVERLAP, BATCH, WIDTH, HIDDEN = 32, 4, 64, 16, 32
 SINGLES, BINS, INPUTS = 176, 16, 2048
 TRAIN_EVERY, ROUNDS, RATE, TRAIN_BATCH = 16, 4, 0.02, 64
-COMMON, REMEMBERED = 200_000, 400_000
+COMMON, REMEMBERED = 200_000, 700_000
 
 _pieces: dict = {}
 
 
 class Pieces:
-    """Subword ids of words as bytes of 16-bit numbers; a bounded number of words is remembered."""
+    """Subword ids of words as bytes of 16-bit numbers; at most REMEMBERED words are remembered, some 50 MB."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        self.model, self.known = sentencepiece.SentencePieceProcessor(model_file=path), {}
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
         if self.model.get_piece_size() > 1 << 16:
             raise ValueError("more than 65,536 subwords")
 
@@ -53,19 +55,21 @@ class Pieces:
             _pieces[path] = Pieces(path)
         return _pieces[path]
 
-    def ids(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        ids = [*map(known.get, words)]
-        new = [w for w, x in zip(words, ids, strict=True) if x is None]
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            encoded = self.model.encode(some, num_threads=1)
-            raw, upto = np.fromiter((i for x in encoded for i in x), "<u2").tobytes(), 0
-            for w, x in zip(some, encoded, strict=True):
-                known[w] = raw[upto : (upto := upto + 2 * len(x))]
-        return [known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if new else ids
+    def look_up(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words."""
+        if len(self.words) > REMEMBERED:
+            self.words, self.ids = self.words[:0], self.ids[:0]
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        at = np.array(at.fill_null(-1))
+        if len(new):
+            at[at < 0] = len(self.words) + np.arange(len(new))
+            encoded = self.model.encode(new.to_pylist(), num_threads=1)
+            offsets = np.r_[0, np.cumsum([2 * len(x) for x in encoded])].astype("<i4")
+            flat = np.fromiter(chain.from_iterable(encoded), "<u2", offsets[-1] // 2)
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids = pa.concat_arrays([self.ids, pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])])
+        return self.ids.take(pa.array(at))
 
 
 def model_path(name: str = MODEL) -> str:
@@ -86,7 +90,7 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 def ids_of(pieces: Pieces, words: pa.DictionaryArray, text: np.ndarray, n: int) -> pa.Array:
     """The ids of n texts, each with its end, as bytes of 16-bit numbers."""
-    raw = pa.array(pieces.ids(words.dictionary.to_pylist()), pa.binary()).take(words.indices)
+    raw = pieces.look_up(words.dictionary).take(words.indices)
     offsets = np.r_[0, np.cumsum(np.bincount(text, minlength=n))].astype(np.int32)
     return pc.binary_join_element_wise(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), raw), b""), np.array([EOS], "<u2").tobytes(), b"")
 
@@ -218,7 +222,7 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in gathered(batches, 24 << 20):
+    for b in gathered(batches, 16 << 20):
         words, _ = words_of(b.column("text"))
         n = np.bincount(np.asarray(words.indices), minlength=len(words.dictionary))
         yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n.astype(np.int64))], ["word", "n"])
@@ -231,7 +235,7 @@ def _subwords(path: str):
         for b in batches:
             encoded = pieces.model.encode(b.column("word").to_pylist(), num_threads=1)
             sizes = [len(x) for x in encoded]
-            flat = np.fromiter((i for x in encoded for i in x), np.int64, sum(sizes))
+            flat = np.fromiter(chain.from_iterable(encoded), np.int64, sum(sizes))
             np.add.at(total, flat, np.repeat(b.column("c").to_numpy(), sizes))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
@@ -331,17 +335,18 @@ def _texts(path: str, common, ends: int):
     """A row for each text, with its ids; and a row for each of its words that is not common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, logs = Pieces.of(path), common.value
+        pieces, (listed, logs, end) = Pieces.of(path), common.value
         names = ["uid", "doc_id", "n_tokens", "known", "base", "ids", "word", "times"]
         for b in gathered(batches):
+            pa.default_memory_pool().release_unused()
             n = b.num_rows
             words, text = words_of(b.column("text"))
             at = np.asarray(words.indices)
-            known = np.array([logs.get(w, np.nan) for w in words.dictionary.to_pylist()], float)[at]
+            known = logs[np.asarray(pc.index_in(words.dictionary, value_set=listed).fill_null(-1))][at]
             missed = np.isnan(known)
             pairs, times = np.unique(text[missed] * len(words.dictionary) + at[missed], return_counts=True)
             total, held = np.bincount(text, minlength=n), np.bincount(text[~missed], minlength=n)
-            base = np.bincount(text[~missed], known[~missed], minlength=n) + logs[None]
+            base = np.bincount(text[~missed], known[~missed], minlength=n) + end
             uid, doc_id, m = b.column("uid"), b.column("doc_id"), len(pairs)
             yield pa.RecordBatch.from_arrays([uid, doc_id, pa.array(total + 1, pa.int64()), pa.array(held + (ends > 0), pa.int64()), pa.array(base), ids_of(pieces, words, text, n), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names)
             of, which = np.divmod(pairs, max(1, len(words.dictionary)))
@@ -388,8 +393,8 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
         least = head << shift
     below = whole + 0.5 * (distinct + 1)
     log = lambda c: float(np.log10((c + 0.5) / below))
-    common = {r.word: log(r.c) for r in (counts.filter(F.col("c") >= least).collect() if least < float("inf") else [])}
-    common[None] = log(ends)
+    top = counts.filter(F.col("c") >= least).collect() if least < float("inf") else []
+    common = pa.array([r.word for r in top], pa.string()), np.array([*[log(r.c) for r in top], np.nan]), log(ends)  # the last: not common
     pieces = Pieces.of(path)
     ids = np.zeros(pieces.model.get_piece_size())
     for r in counts.mapInArrow(_subwords(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row a subword
