@@ -116,7 +116,7 @@ def tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
     small_batches(docs.sparkSession)
     slim = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("__text"))
     schema = f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long"
-    return table(slim.mapInArrow(_tokenise(path or tokenizer_path(), end_id), schema), "tokens")
+    return table(slim.mapInArrow(_tokenise(path or tokenizer_path(), end_id), schema), "tokens", "zstd")
 
 
 def combinations(have: np.ndarray, window: int, frequent: int = FREQUENT) -> list[tuple[int, ...]]:
