@@ -6,7 +6,7 @@ equal mass. The model gives the next class from a window of ids (one attention l
 causal mask, one feed-forward layer), and the counts give an id within its class, so
 every text has a probability. Weights start at the counts' class frequencies and are trained
 in rounds: each task runs Adam over its own training windows and the results are averaged.
-Every training document gives at least one window, and one in TRAIN_EVERY of its windows.
+Every window of every training document trains, once, in one of the rounds.
 
 A document is scored in overlapping windows, in batches: each token once, with at
 least OVERLAP tokens before it in its window unless the text starts there.
@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, forget, gathered, load, small_batches, table
+from .common import fold, gathered, load, small_batches, table
 
 MODEL, BOS, EOS = "piece_bpe_32k.model", 1, 2
-LENGTH, OVERLAP, BATCH, WIDTH, HIDDEN = 32, 4, 64, 16, 32
+LENGTH, OVERLAP, BATCH, WIDTH, HIDDEN = 64, 8, 32, 16, 32
 SINGLES, BINS, INPUTS = 176, 16, 2048
-TRAIN_EVERY, ROUNDS, RATE, TRAIN_BATCH = 16, 4, 0.02, 64
+ROUNDS, RATE, TRAIN_BATCH = 4, 0.02, 64
 COMMON, REMEMBERED = 200_000, 700_000
 
 _pieces: dict = {}
@@ -187,11 +187,16 @@ class Model:
         x, q, k, v, s, mixed, y, u, h = self.hidden(rows)
         flat = lambda a: a.reshape(-1, a.shape[-1])
         z = flat(h) @ w["out"] + w["out0"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), target.ravel()] -= 1
-        z /= len(z)
-        g = {"out": flat(h).T @ z, "out0": z.sum(axis=0)}
+        with np.errstate(over="ignore"):
+            e = np.exp(z)
+            total = e @ np.ones(z.shape[1], np.float32)
+        if not (np.isfinite(total).all() and total.min() > 0):  # so rare that the greatest is sought only then
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            total = e @ np.ones(z.shape[1], np.float32)
+        z = e
+        z *= (1 / (total * np.float32(len(z))))[:, None]
+        z[np.arange(len(z)), target.ravel()] -= np.float32(1 / len(z))
+        g = {"out": flat(h).T @ z, "out0": np.ones(len(z), np.float32) @ z}
         dh = (z @ w["out"].T).reshape(h.shape)
         g["down"] = flat(u).T @ flat(dh)
         du = (dh @ w["down"].T) * (1 - u * u)
@@ -202,18 +207,22 @@ class Model:
         ds = dm @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ dm
         ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-        dq, dk = ds @ k * WIDTH**-0.5, ds.transpose(0, 2, 1) @ q  # q holds the scale
+        dq, dk = (ds @ k) * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q  # q holds the scale
         dx = dy + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-        g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "place": np.zeros_like(w["place"]), "embed": np.zeros_like(w["embed"])}
+        g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "place": np.zeros_like(w["place"])}
         g["place"][:n] = dx.sum(axis=0)
-        np.add.at(g["embed"], rows.ravel(), flat(dx))
+        at = (rows.ravel() * WIDTH)[:, None] + np.arange(WIDTH)
+        g["embed"] = np.bincount(at.ravel(), dx.ravel(), minlength=w["embed"].size).reshape(w["embed"].shape).astype(np.float32)
         return g
 
-    def train(self, rows: np.ndarray, target: np.ndarray, rate: float) -> Model:
+    def train(self, rows: np.ndarray, target: np.ndarray, rate: float, state: dict | None = None) -> Model:
+        """state: Adam's moments and steps, kept from batch to batch."""
+        state = {} if state is None else state
         w = {n: a.copy() for n, a in self.w.items()}
-        now, m, v = Model(w), {n: np.zeros_like(a) for n, a in w.items()}, {n: np.zeros_like(a) for n, a in w.items()}
-        steps = range(0, len(rows), TRAIN_BATCH)
-        for t, at in enumerate(steps, 1):
+        m, v = (state.setdefault(k, {n: np.zeros_like(a) for n, a in w.items()}) for k in "mv")
+        now = Model(w)
+        for at in range(0, len(rows), TRAIN_BATCH):
+            t = state["t"] = state.get("t", 0) + 1
             for n, g in now.gradient(rows[at : at + TRAIN_BATCH], target[at : at + TRAIN_BATCH]).items():
                 m[n] += 0.1 * (g - m[n])
                 v[n] += 0.01 * (g * g - v[n])
@@ -243,37 +252,29 @@ def _subwords(path: str):
     return run
 
 
-def _samples(classes: Classes):
-    """Training windows: input rows and target classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, start = flattened(b.column("ids"))
-            first, turn = [], []
-            for s, e in zip(start[:-1].tolist(), start[1:].tolist()):
-                parts = -(-(e - s) // LENGTH)
-                every, hashed = min(TRAIN_EVERY, parts), zlib.crc32(flat[s : min(e, s + 64)])
-                for k in range(hashed % every, parts, every):
-                    first.append(s + k * LENGTH)
-                    turn.append((hashed // 7 + k) % ROUNDS)
-            place = np.array(first, np.int64)[:, None] + np.arange(LENGTH)[None, :]
-            end = start[np.searchsorted(start, np.array(first, np.int64), side="right")][:, None]
-            before = np.where(np.isin(place, start), BOS, flat[np.clip(place - 1, 0, len(flat) - 1)])
-            rows = classes.input[np.where(place <= end, before, EOS)]
-            target = classes.of[np.where(place < end, flat[np.minimum(place, len(flat) - 1)], EOS)]
-            yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), *[pa.array([x.tobytes() for x in m.astype("<u2")], pa.binary()) for m in (rows, target)]], ["turn", "rows", "target"])
-
-    return run
-
-
-def _local(sent, rate: float):
+def training_windows(classes: Classes, flat: np.ndarray, start: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Input rows and target classes of the windows that train in this round; over all rounds each token is in one window. flat and start as from flattened."""
+    n = np.diff(start)
+    parts = -(-n // LENGTH)
+    owner = np.repeat(np.arange(len(n)), parts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    hashed = np.array([zlib.crc32(flat[s : min(e, s + 64)]) for s, e in zip(start[:-1].tolist(), start[1:].tolist())], np.int64)
+    now = np.flatnonzero((hashed[owner] + nth) % ROUNDS == turn)
+    now = np.random.default_rng(turn).permutation(now)  # windows of one text go to different steps
+    first, end = start[owner[now]] + nth[now] * LENGTH, start[owner[now] + 1][:, None]
+    place = first[:, None] + np.arange(LENGTH)[None, :]
+    before = flat[np.clip(place - 1, 0, max(0, len(flat) - 1))]
+    before[nth[now] == 0, 0] = BOS
+    rows = classes.input[np.where(place <= end, before, EOS)]
+    return rows, classes.of[np.where(place < end, flat[np.minimum(place, len(flat) - 1)], EOS)]
+
+
+def _local(sent, turn: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = sent.value, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, LENGTH).astype(np.int64) for c in ("rows", "target"))
-            model = model.train(x, y, rate)
+        (model, classes), n, state = sent.value, 0, {}
+        for b in gathered(batches, 4 << 20):
+            x, y = training_windows(classes, *flattened(b.column("ids")), turn)
+            model = model.train(x, y, rate, state)
             n += len(x)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([(model.vector() * np.float64(n)).tobytes()], pa.binary())], ["n", "sums"])
@@ -293,18 +294,14 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(texts: DataFrame, classes: Classes) -> Model:
     """texts: column ids, as ids_of gives them."""
     spark = texts.sparkSession
-    windows = table(texts.select("ids").mapInArrow(_samples(classes), "turn int, rows binary, target binary"), "lm-windows")
     model = Model.fresh(classes.prior)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     for turn in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(model)  # some 50,000 numbers
-        own = windows.filter(F.col("turn") == turn).select("rows", "target").mapInArrow(_local(sent, RATE / (1 + turn)), "n double, sums binary")
+        sent = spark.sparkContext.broadcast((model, classes))  # some 50,000 numbers, and three for each subword
+        own = texts.select("ids").mapInArrow(_local(sent, turn, RATE / (1 + turn)), "n double, sums binary")
         # added up in two steps: few results reach the driver, however many tasks there are
         some = own.repartition(4).mapInArrow(_add, "n double, sums binary").collect()
         if some:
             model = model.filled(sum(np.frombuffer(r.sums, np.float64) for r in some) / sum(r.n for r in some))
-    small_batches(spark)
-    forget(windows)
     return model
 
 

@@ -421,3 +421,26 @@ def test_training_helps():
     model = lm_score.Model.fresh(prior)
     after = model.train(seqs[:, :-1], seqs[:, 1:], 0.02).train(seqs[:, :-1], seqs[:, 1:], 0.02)
     assert after.logs(seqs[:8, :-1], seqs[:8, 1:], 0).mean() > model.logs(seqs[:8, :-1], seqs[:8, 1:], 0).mean() + 1
+
+
+def test_every_training_window_trains():
+    """Over the rounds each id of each text is the target of one window, after the id before it."""
+    rng = np.random.default_rng(11)
+    classes = lm_score.Classes(rng.integers(0, 1000, 5000).astype(float))
+    texts = [np.append(rng.integers(3, 5000, n), lm_score.EOS) for n in (0, 5, 63, 64, 700, 5000)]
+    flat, start = np.concatenate(texts), np.r_[0, np.cumsum([len(x) for x in texts])]
+    got = Counter()
+    for turn in range(lm_score.ROUNDS):
+        rows_, target = lm_score.training_windows(classes, flat, start, turn)
+        got.update((a.tobytes(), b.tobytes()) for a, b in zip(rows_.astype("<u2"), target.astype("<u2")))
+    want = Counter()
+    for x in texts:
+        before = np.append(lm_score.BOS, x[:-1])
+        for at in range(0, len(x), lm_score.LENGTH):
+            size = min(lm_score.LENGTH, len(x) - at)
+            a, b = np.full((2, lm_score.LENGTH), lm_score.EOS)
+            a[:size], b[:size] = before[at : at + size], x[at : at + size]
+            if size < lm_score.LENGTH:
+                a[size] = x[-1]
+            want[classes.input[a].astype("<u2").tobytes(), classes.of[b].astype("<u2").tobytes()] += 1
+    assert got == want
