@@ -236,6 +236,38 @@ def test_shared_passages(spark, none):
             assert abs(s1 - 100) <= 2 and abs(e1 - 180) <= 2 and s2 <= 1 and abs(e2 - 80) <= 2
 
 
+def hit(got, a, a_from, b, b_from, n):
+    """A row lists most of the n words from a_from on in a and from b_from on in b."""
+    over = lambda s, e, f: min(e, f + n) - max(s, f) >= 0.6 * n
+    sides = [(r.doc_id, r.start, r.end, r.other_doc_id, r.other_start, r.other_end) for r in got]
+    return any(x == a and y == b and over(s, e, a_from) and over(os, oe, b_from) for x, s, e, y, os, oe in [*sides, *[(*t[3:], *t[:3]) for t in sides]])
+
+
+def changed(text, seed, n):
+    """text with n of its words replaced, at random places."""
+    rng, w = np.random.default_rng(seed), text.split()
+    for i in rng.choice(len(w), n, replace=False):
+        w[i] = f"new{seed}x{i}"
+    return " ".join(w)
+
+
+def passages_of(spark, texts):
+    return substring_dedup.shared_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+
+
+def test_passages_recall(spark):
+    """Passages of 50 words with 10 replaced (identity 0.8): nearly all planted pairs are found."""
+    n, texts = 40, {}
+    for k in range(n):
+        passage = sentence(2000 + k, 50)
+        texts[2 * k] = sentence(3000 + k, 60) + " " + passage + " " + sentence(4000 + k, 60)
+        texts[2 * k + 1] = sentence(5000 + k, 30) + " " + changed(passage, k, 10) + " " + sentence(6000 + k, 60)
+    got = passages_of(spark, texts)
+    found = sum(hit(got, 2 * k, 60, 2 * k + 1, 30, 50) for k in range(n))
+    print("recall", found / n)
+    assert found >= 0.9 * n
+
+
 def test_chains_equal_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
