@@ -268,6 +268,42 @@ def test_passages_recall(spark):
     assert found >= 0.9 * n
 
 
+@pytest.mark.parametrize("others", [1, 12])
+def test_passages_of_common_lines(spark, others):
+    """Two documents in the middle share three lines, each of which stands in earlier and later documents too."""
+    texts = {}
+    for g in range(8):
+        lines = [sentence(7000 + 10 * g + k, 20) for k in range(3)]
+        for side in (0, 2000):
+            for k, line in enumerate(lines):
+                for m in range(others):
+                    at = side + 100 * g + 20 * k + m
+                    texts[at] = sentence(8000 + at, 30) + " " + line + " " + sentence(12000 + at, 40)
+        for d in (1000, 1001):
+            texts[d + 10 * g] = sentence(20000 + d + 10 * g, 30) + " " + " ".join(lines) + " " + sentence(30000 + d + 10 * g, 30)
+    got = passages_of(spark, dict(sorted(texts.items())))
+    assert all(hit(got, 1000 + 10 * g, 30, 1001 + 10 * g, 30, 60) for g in range(8))
+
+
+@pytest.mark.parametrize("others", [1, 12])
+def test_passages_of_common_pieces(spark, others):
+    """As before, with pieces that overlap: each seed, also where pieces meet, stands in earlier and later documents, the passage in two."""
+    texts = {}
+    for g in range(8):
+        passage = sentence(7500 + g, 70).split()
+        for side in (0, 2000):
+            for k in range(3):
+                for m in range(others):
+                    at = side + 100 * g + 20 * k + m
+                    texts[at] = sentence(8000 + at, 30) + " " + " ".join(passage[20 * k : 20 * k + 30]) + " " + sentence(12000 + at, 40)
+        for d in (1000, 1001):
+            texts[d + 10 * g] = sentence(20000 + d + 10 * g, 30) + " " + " ".join(passage) + " " + sentence(30000 + d + 10 * g, 30)
+    got = passages_of(spark, dict(sorted(texts.items())))
+    found = sum(hit(got, 1000 + 10 * g, 30, 1001 + 10 * g, 30, 70) for g in range(8))
+    print("found", found)
+    assert found == 8
+
+
 def test_chains_equal_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
