@@ -304,6 +304,16 @@ def test_passages_of_common_pieces(spark, others):
     assert found == 8
 
 
+@pytest.mark.parametrize("others", [0, 10])
+def test_passages_twice_in_a_document(spark, others):
+    passage = sentence(500, 60)
+    texts = {0: sentence(501, 40) + " " + passage + " " + sentence(502, 100) + " " + passage, 1: passage + " " + sentence(503, 50), 2: sentence(504, 20) + " " + passage + " " + sentence(505, 100) + " " + passage}
+    texts |= {3 + k: sentence(600 + k, 20) + " " + passage for k in range(others)}
+    got = passages_of(spark, texts)
+    for d, at in ((0, 40), (0, 200), (2, 20), (2, 180)):
+        assert any(hit(got, d, at, o, f, 60) for o, f in [(0, 40), (0, 200), (1, 0), (2, 20), (2, 180), *[(3 + k, 20) for k in range(others)]] if o != d)
+
+
 def test_chains_equal_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
