@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: what separates words, as a Java/RE2 pattern. Python's bytes.split() uses the same six characters.
@@ -18,30 +19,48 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where the session names none."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a local master gets a temporary folder; on a cluster that is an error, as executors do not share one."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        where = tempfile.mkdtemp(prefix="checkpoint-")
+    sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark's own switch: what a write shuffled goes once it is written. The table cuts its lineage, so nothing reads it again.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
+    """df written once to the shared folder and read back: cuts lineage and survives lost executors.
+
+    The table belongs to the DataFrames that read it. Once the JVM holds no plan that does, a
+    later table() or sweep() deletes it; release() does so at once.
+    """
     spark = df.sparkSession
+    sweep(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**PLAIN).parquet(path, compression=compression)
+    before = spark.conf.get(CLEAN, None)
+    try:
+        spark.conf.set(CLEAN, "true")
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    made(spark).append(path)
+    relation = out._jdf.queryExecution().analyzed().relation()  # each plan made from out holds this very object
+    _made.setdefault(spark.sparkContext.applicationId, {})[path] = spark._jvm.java.lang.ref.WeakReference(relation)
     return out
 
 
-#: Where the shared folder is on a local file system: no checksum file beside each file. For either, Hadoop starts a process on the executor.
-PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-#: Paths that table() has written, by application.
-_made: dict[str, list[str]] = {}
+#: By application, the paths that table() has written and that are still there, each with a weak reference to what reads it.
+_made: dict[str, dict[str, object]] = {}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -49,30 +68,39 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The paths that table() has written and that are still there."""
+    return list(_made.get(spark.sparkContext.applicationId, {}))
+
+
 def forget(df: DataFrame) -> None:
-    """Delete what table() wrote, once nothing reads it any more."""
+    """Delete what table() wrote, once its only reader has run."""
     path = getattr(df, "_stored_at", None)
-    if path in made(df.sparkSession):
+    if path and _made.get(df.sparkSession.sparkContext.applicationId, {}).pop(path, None):
         _delete(df.sparkSession, path)
-        made(df.sparkSession).remove(path)
 
 
-def made(spark: SparkSession) -> list[str]:
-    """The paths that table() has written and that are still there."""
-    return _made.setdefault(spark.sparkContext.applicationId, [])
+def sweep(spark: SparkSession, collect: bool = False) -> None:
+    """Delete the tables that no plan reads any more. collect: look for garbage first, here and in the driver's JVM."""
+    left = _made.get(spark.sparkContext.applicationId, {})
+    if collect:
+        gc.collect()
+        spark._jvm.System.gc()
+    for path, reader in list(left.items()):
+        if reader.refersTo(None) and left.pop(path, None):
+            _delete(spark, path)
 
 
-def forget_paths(spark: SparkSession, paths: list[str], keep: DataFrame) -> list[str]:
-    """Delete what table() wrote to these paths, but for those that keep reads, which are returned."""
-    read = [re.sub("^file:/+", "/", f) for f in keep.inputFiles()] if paths else []
-    held = []
-    for path in paths:
-        if any(f.startswith(re.sub("^file:/+", "/", path) + "/") for f in read):
-            held.append(path)
-        elif path in made(spark):
-            _delete(spark, path)
-            made(spark).remove(path)
-    return held
+def release(df: DataFrame) -> None:
+    """Delete every table that df reads, when its caller is done with it; other results that read the same tables go with it."""
+    spark = df.sparkSession
+    plain = lambda p: re.sub("^file:/+", "/", p)
+    read = {plain(f).rpartition("/")[0] for f in df.inputFiles()}
+    left = _made.get(spark.sparkContext.applicationId, {})
+    for path in [p for p in left if plain(p) in read]:
+        del left[path]
+        _delete(spark, path)
+    sweep(spark, True)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,39 +137,45 @@ def ship(spark: SparkSession) -> None:
     sc._shipped = str(top)
 
 
-def fewer(df: DataFrame, by: int = 3) -> DataFrame:
-    """df, whose plan has no shuffle, in fewer tasks: for light work on each split, whose results would be many small files."""
-    return df.coalesce(max(1, -(-df.rdd.getNumPartitions() // by)))
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Before Python runs on executors: Arrow batches of a few hundred rows, as one text may have megabytes."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def running(df: DataFrame, value: str, order: str, name: str, keys: tuple[str, ...] = (), rows: int | None = None, per_bucket: int = 20_000) -> DataFrame:
-    """df with, in column name, the sum of value over the rows before it (among those equal in keys).
+#: Rows of a bucket of running(), at most.
+BUCKET_ROWS = 1 << 14
+
+
+def running(df: DataFrame, value: str, order: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with, in column name, the sum of value over the rows before it (among those equal in keys), in the order of the unique long column `order`.
 
-    A total order over buckets of rows, not one sorted task: rows are hashed to
-    buckets of about per_bucket rows each, summed within a bucket in the order of
-    the unique column `order`, and shifted by the sum of the buckets before. So a
-    key that holds most rows is spread over as many buckets as any other.
+    No task sorts everything: rows are summed in buckets of BUCKET_ROWS numbers of the order, and
+    shifted by the sum of the buckets before. So a key that holds most rows is spread
+    over as many buckets as any other, and only the buckets' sums are ever sorted together.
     """
-    from pyspark.sql import Window
-
-    rows = df.count() if rows is None else rows
-    buckets = max(1, -(-rows // per_bucket))
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"))
-    sums = df.groupBy(*keys, "__bucket").agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__bucket").alias("__at"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__shift"))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    on = F.col("__bucket") == F.col("__at")
+    bucket, at, total, shift, inside = (free_name(df, x) for x in ("__bucket", "__at", "__sum", "__shift", "__inside"))
+    df = df.withColumn(bucket, F.expr(f"`{order}` div {BUCKET_ROWS}L"))
+    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias(total))
+    before = prefix_sums(sums, total, bucket, shift, keys).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(bucket).alias(at), shift)
+    here = Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn(inside, F.coalesce(F.sum(value).over(here), F.lit(0)))
+    on = F.col(bucket) == F.col(at)
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    return df.join(sums, on).withColumn(name, (F.col("__inside") + F.col("__shift")).cast("long")).drop("__bucket", "__at", "__inside", "__shift", *[f"__{k}" for k in keys])
+    return df.join(before, on).withColumn(name, (F.col(inside) + F.col(shift)).cast("long")).drop(bucket, at, inside, shift, *[f"__{k}" for k in keys])
+
+
+def prefix_sums(sums: DataFrame, value: str, order: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """sums with the sum of value over the rows before (among those equal in keys): again by blocks, so a window holds no more than a block of rows, or of blocks."""
+    block, held = free_name(sums, "__block"), free_name(sums, "__held")
+    sums = sums.withColumn(block, F.expr(f"`{order}` div {BUCKET_ROWS}L"))
+    blocks = sums.groupBy(*keys, block).agg(F.sum(value).alias(held))
+    upto = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, block, F.coalesce(F.sum(held).over(upto), F.lit(0)).alias(held))
+    here = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = sums.withColumn(name, F.coalesce(F.sum(value).over(here), F.lit(0)))
+    return summed.join(blocks, [*keys, block]).withColumn(name, F.col(name) + F.col(held)).drop(block, held)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fewer, load, small_batches, table
+from .common import load, small_batches, table
 
 MIN_WORDS = 10
 
@@ -131,7 +131,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cols = [f"__c{i}" if c != "text" else "__text" for i, c in enumerate(names)]
     kinds = ", ".join(f"`{c}` {docs.schema[n].dataType.simpleString() if n != 'text' else 'string'}" for c, n in zip(cols, names, strict=True))
     numbered = docs.select(*[F.col(n).cast("string").alias(c) if n == "text" else F.col(n).alias(c) for c, n in zip(cols, names, strict=True)], F.monotonically_increasing_id().alias("uid"))
-    stored = table(fewer(numbered).mapInArrow(_lines(min_words), f"{kinds}, uid long, a array<long>, b array<long>, run_on array<int>, run_back array<int>"), "line-docs")
+    stored = table(numbered.mapInArrow(_lines(min_words), f"{kinds}, uid long, a array<long>, b array<long>, run_on array<int>, run_back array<int>"), "line-docs")
     key = f"__c{names.index('doc_id')}"
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64("__text").alias("hash"), F.col("uid").alias("row"))
     lines = stored.select("uid", F.posexplode(F.arrays_zip("a", "b", "run_on", "run_back")).alias("j", "x")).select("uid", "j", "x.*")

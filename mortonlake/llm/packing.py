@@ -3,12 +3,12 @@
 Every document is tokenised once into a written table. What fills whole windows is
 cut off and stands alone; the histogram of the lengths that remain has at most
 window - 1 entries however large the corpus is, so the driver holds it. Over it the
-columns are all shallow combinations (one, two or three lengths) that fill a window or
-a power of two below it exactly, which needs no padding. Coordinate descent solves for
-non-negative repeat counts that come closest to the histogram; they are rounded
-down to what the histogram holds. Documents take the slots of their length by
-rank. What rounding leaves over is laid end to end greedily and cut at the
-windows' ends; the last partial window is cut into powers of two.
+columns are shallow combinations (one length some times and another once, or three
+lengths) that fill a window exactly. Coordinate descent solves for non-negative repeat counts that come closest
+to the histogram; they are rounded down to what the histogram holds. Documents take
+the slots of their length by rank. What rounding leaves over is laid end to end
+greedily and cut at the windows' ends. So every sequence is a full window, but for the
+last partial one, which is cut into powers of two: no padding at all.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gathered, load, running, small_batches, table
 
-WINDOW, END_ID, CACHE, FREQUENT, SWEEPS = 4096, 2, 700_000, 64, 30
+WINDOW, END_ID, CACHE, FREQUENT, REPEATS, SWEEPS = 4096, 2, 700_000, 64, 12, 30
 TOKENIZER = "word_bpe_49k.json"
 
 _loaded: dict = {}
@@ -111,30 +111,52 @@ def _tokenise(path: str, end_id: int):
     return run
 
 
-def tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(uid, doc_id, ids, n_tokens) of every row, written once; uid is unique also where doc_id is not."""
+def tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID, order: Column | None = None) -> DataFrame:
+    """(uid, doc_id, ids, n_tokens) of every row, written once; uid is unique also where doc_id is not, and rises with order (default: that of the scan)."""
     small_batches(docs.sparkSession)
-    slim = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("__text"))
+    slim = docs.select((F.monotonically_increasing_id() if order is None else order).alias("uid"), "doc_id", F.col("text").cast("string").alias("__text"))
     schema = f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long"
     return table(slim.mapInArrow(_tokenise(path or tokenizer_path(), end_id), schema), "tokens", "zstd")
 
 
-def combinations(have: np.ndarray, window: int, frequent: int = FREQUENT) -> list[tuple[int, ...]]:
-    """Shallow combinations of lengths that occur and fill the window, or a power of two below it, exactly."""
-    sizes = [window] + [1 << k for k in range(window.bit_length() - 1, -1, -1) if 1 << k < window]
-    found: list[tuple[int, ...]] = []
-    top = sorted(np.argsort(-have * np.arange(len(have)), kind="stable")[:frequent].tolist())
-    top = [x for x in top if have[x]]
-    for w in sizes:
-        if w < len(have) and have[w]:
-            found.append((w,))
-        found += [(a, w - a) for a in range(max(1, w - len(have) + 1), w // 2 + 1) if have[a] and have[w - a]]
-        for i, a in enumerate(top):
-            for b in top[i:]:
-                c = w - a - b
-                if c >= b and c < len(have) and have[c]:
-                    found.append((a, b, c))
-    return found
+def _count(path: str, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _loaded:
+            _loaded[path] = Chunks(path)
+        for b in gathered(batches):
+            n = pc.add(pc.cast(pc.divide(pc.binary_length(_loaded[path].encode(pc.cast(b.column(name), pa.string()))), 4), pa.int64()), 1)
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([*b.columns, n], [*b.schema.names[:-1], name, f"{name}_n"])
+
+    return run
+
+
+def counted(docs: DataFrame, out: str, path: str | None = None) -> DataFrame:
+    """docs with, in column out, how many ids packing makes of each text, its end included; written once."""
+    small_batches(docs.sparkSession)
+    inner = [f"__c{i}" for i in range(len(docs.columns))]
+    copy = "__text"
+    slim = docs.toDF(*inner).withColumn(copy, F.col(inner[docs.columns.index("text")]).cast("string"))
+    kinds = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(slim.columns, slim.schema.fields, strict=True))
+    got = slim.mapInArrow(_count(path or tokenizer_path(), copy), f"{kinds}, `{copy}_n` long")
+    return table(got.drop(copy).toDF(*docs.columns, out), "token-counts")
+
+
+def combinations(have: np.ndarray, window: int, frequent: int = FREQUENT, repeats: int = REPEATS) -> list[tuple[int, ...]]:
+    """Shallow combinations of lengths that occur and fill the window exactly: one length up to `repeats` times and another once, and triples that hold two of the lengths with most tokens."""
+    found = set()
+    for k in range(1, repeats + 1):
+        for a in np.flatnonzero(have[1 : -(-window // k)]) + 1:
+            b = window - k * int(a)
+            if 0 < b < len(have) and have[b]:
+                found.add(tuple(sorted((int(a),) * k + (b,))))
+    top = [x for x in sorted(np.argsort(-have * np.arange(len(have)), kind="stable")[:frequent].tolist()) if have[x]]
+    for i, a in enumerate(top):
+        for b in top[i:]:
+            c = window - a - b
+            if 0 < c < len(have) and have[c]:
+                found.add(tuple(sorted((a, b, c))))
+    return sorted(found)
 
 
 def nnls(columns: list[tuple[int, ...]], have: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
@@ -174,29 +196,29 @@ def plan(have: np.ndarray, window: int) -> tuple[list[tuple[int, int, int, int,
     return slots, base
 
 
-def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, end_id: int = END_ID, order: Column | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) that hold each token once.
 
     ids: the piece's token ids as little-endian unsigned 32-bit numbers. Null and empty
     texts are their end id alone; rows with equal doc_id are packed each; a document
     longer than the window is cut. Columns other than doc_id and text are not used.
-    No document gives no piece.
+    No document gives no piece. order: a unique long >= 0 of each row; sequences are then
+    numbered by the first of their rows in it.
     """
     spark = docs.sparkSession
-    stored = tokens(docs, path, end_id)
+    stored = tokens(docs, path, end_id, order)
     slim = stored.select("uid", "n_tokens", (F.col("n_tokens") % window).cast("int").alias("rest"), F.expr(f"n_tokens div {window}").alias("whole"))
-    rows = stored.count()
     have = np.zeros(window, np.int64)
     for r in slim.filter("rest > 0").groupBy("rest").count().collect():  # at most window - 1 rows
         have[r[0]] = r[1]
     slots, sequences = plan(have, window)
     fits = spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "slot int, low long, high long, first long, offset long")
-    ranked = running(slim.filter("rest > 0").withColumn("__one", F.lit(1)), "__one", "uid", "rank", ("rest",), rows).drop("__one")
+    ranked = running(slim.filter("rest > 0").withColumn("__one", F.lit(1)), "__one", "uid", "rank", ("rest",)).drop("__one")
     placed = ranked.join(F.broadcast(fits), (F.col("rest") == F.col("slot")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left")  # fits: at most 3 slots a combination, bounded by the window
     placed = table(placed.select("uid", "rest", "whole", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence"), "offset"), "packing-slots")
     exact = placed.filter("sequence is not null").select("uid", (F.col("whole") * window).alias("start"), F.col("rest").cast("long").alias("length"), F.col("sequence").alias("sequence_id"), "offset")
 
-    tape = table(running(placed.filter("sequence is null").select("uid", "rest", "whole"), "rest", "uid", "at", (), rows), "packing-tape")
+    tape = table(running(placed.filter("sequence is null").select("uid", "rest", "whole"), "rest", "uid", "at"), "packing-tape")
     total = tape.agg(F.coalesce(F.sum("rest"), F.lit(0))).first()[0]
     ends, at = [], total // window * window
     for k in range(window.bit_length(), -1, -1):
@@ -215,12 +237,22 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, end_id:
 
     sequences += full + len(ends)
     many = slim.filter("whole > 0").select("uid", "whole")
-    many = running(many, "whole", "uid", "at", (), rows).select("uid", F.posexplode(F.expr("sequence(1L, whole)")).alias("k", "x"), "at")
+    many = running(many, "whole", "uid", "at").select("uid", F.posexplode(F.expr("sequence(1L, whole)")).alias("k", "x"), "at")
     alone = many.select("uid", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), (F.lit(sequences) + F.col("at") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     pieces = exact.unionByName(greedy).unionByName(alone)
+    if order is not None:
+        pieces = _in_order(table(pieces, "packing-pieces"))
     joined = stored.join(pieces.withColumnRenamed("uid", "uid_"), F.col("uid") == F.col("uid_"))
     return joined.select("doc_id", "start", "length", F.expr("substring(ids, cast(start * 4 + 1 as int), cast(length * 4 as int))").alias("ids"), F.col("n_tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
+def _in_order(pieces: DataFrame) -> DataFrame:
+    """pieces, whose sequences are numbered anew by their least uid: a range shuffle of one row a sequence."""
+    first = pieces.groupBy("sequence_id").agg(F.min("uid").alias("first")).repartitionByRange("first", "sequence_id").sortWithinPartitions("first", "sequence_id")
+    placed = table(first.select("sequence_id", F.monotonically_increasing_id().alias("place"), F.lit(1).alias("one")), "packing-order")
+    numbers = running(placed, "one", "place", "number").select("sequence_id", "number")
+    return pieces.join(numbers, "sequence_id").withColumn("sequence_id", F.col("number")).drop("number")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -11,7 +11,7 @@ from mortonlake.llm import line_dedup, mixing, packing, quality_rules, queries
 from mortonlake.llm.common import table
 
 from ..conftest import DATA
-from .test_small import brute_lines, check_pieces, jaccard_sets
+from .test_small import brute_lines, check_pieces, check_windows, jaccard_sets
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -75,25 +75,55 @@ def test_pipeline(spark, duck):
 
     used = Counter(r.doc_id for r in mixed)
     assert set(used) == set(least) and max(used.values()) <= 2
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    size = {r.doc_id: len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in alone}
     tokens, drawn = Counter(), Counter()
     for r in alone:
-        tokens[r.source] += len(r.text.encode().split())
-        drawn[r.source] += len(r.text.encode().split()) * used[r.doc_id]
+        tokens[r.source] += size[r.doc_id]
+        drawn[r.source] += size[r.doc_id] * used[r.doc_id]
     most = max(tokens.values())
     repeats = {s: drawn[s] / n for s, n in tokens.items()}
     assert repeats[max(tokens, key=tokens.get)] == 1 and max(repeats.values()) <= mixing.MAX_REPEATS
     a = 1 - np.log(mixing.MAX_REPEATS) / np.log(most / min(tokens.values()))
     for s, n in tokens.items():
-        share = max(len(r.text.encode().split()) for r in alone if r.source == s) / n  # a block is a document here
+        share = max(size[r.doc_id] for r in alone if r.source == s) / n  # a block is a document here
         assert (most / n) ** (1 - a) - share - 1e-3 <= repeats[s] <= (most / n) ** (1 - a) + 1e-3
 
     pieces = corpus_pipeline.STAGES[-1][1](spark, before, DATA).collect()
     by_doc, by_seq = check_pieces(None, pieces)
-    assert all(n & (n - 1) == 0 for n in (sum(x for _, x in parts) for parts in by_seq.values()))
-    tok = Tokenizer.from_file(packing.tokenizer_path())
+    check_windows(by_seq)
     for r in alone:
         ids = [*tok.encode(r.text, add_special_tokens=False).ids, 2]
         assert sum(p.length for p in by_doc[r.doc_id]) == len(ids) * used[r.doc_id]
         for p in by_doc[r.doc_id]:
             assert p.ids == np.array(ids[p.start : p.start + p.length], "<u4").tobytes()
-    assert corpus_pipeline.run(spark, DATA).count() == len(pieces)
+    # two pipelines in a session do not touch each other's tables
+    first, second = corpus_pipeline.run(spark, DATA), corpus_pipeline.run(spark, DATA)
+    assert first.count() == second.count() == len(pieces)
+
+
+def test_order_of_the_mix(spark):
+    """The rows of the mixing stage's files are in the order of the mix, and packing's sequences follow it."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    mixed = corpus_pipeline.mixture(spark, docs, DATA)
+    stored = table(mixed, "test-mixed")
+    order = corpus_pipeline.written_order(stored)
+    got = [r.doc_id for r in stored.withColumn("o", order).orderBy("o").collect()]
+    seen, again = set(), 0
+    for d in got:  # later epochs after the first
+        again += d in seen
+        assert d in seen or not again
+        seen.add(d)
+    assert again and corpus_pipeline.written_order(docs.filter("doc_id > 3").groupBy("doc_id", "text").count()) is None
+    place = {d: k for k, d in reversed(list(enumerate(got)))}
+    first = {}
+    for p in corpus_pipeline.packed(spark, stored, DATA).collect():
+        first[p.sequence_id] = min(first.get(p.sequence_id, 1 << 60), place[p.doc_id])
+    assert sorted(first) == list(range(len(first)))
+
+
+@pytest.mark.parametrize("texts", [[], [None, None, ""]])
+def test_pipeline_of_little(spark, tmp_path, texts):
+    df = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

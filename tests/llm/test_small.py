@@ -402,15 +402,30 @@ def test_packing(spark, docs, none):
         assert sum(p.length for p in by_doc[d]) == sum(len(t) // 4 for t in texts)
         if len(texts) == 1:
             assert b"".join(p.ids for p in sorted(by_doc[d], key=lambda p: p.start)) == texts[0]
+    check_windows(by_seq)
+
+
+def check_windows(by_seq, window=4096):
+    """Every sequence is a full window, but for the powers of two of one rest."""
     totals = [sum(n for _, n in parts) for parts in by_seq.values()]
-    assert all(n == 4096 or n & (n - 1) == 0 for n in totals)
+    rest = [n for n in totals if n != window]
+    assert sum(rest) == sum(totals) % window and len(rest) == bin(sum(rest)).count("1") and all(n & (n - 1) == 0 for n in rest)
+
+
+def test_packing_order(spark):
+    """Sequences are numbered by the first of their rows."""
+    df = spark.createDataFrame([(k, sentence(k, 40 + 7 * k % 90)) for k in range(120)], "doc_id long, text string")
+    by_doc, by_seq = check_pieces(None, pieces := packing.pack(df, 256, order=F.lit(500) - F.col("doc_id")).collect(), 256)
+    check_windows(by_seq, 256)
+    first = [min(500 - p.doc_id for p in pieces if p.sequence_id == k) for k in sorted(by_seq)]
+    assert sorted(by_seq) == list(range(len(by_seq))) and first == sorted(first)
 
 
 def test_nnls():
     have = np.zeros(65, np.int64)
     have[[10, 54, 20, 44, 32]] = [100, 100, 30, 50, 7]
     columns = packing.combinations(have, 64)
-    assert (10, 54) in columns and (20, 44) in columns and (32,) in columns
+    assert (10, 54) in columns and (20, 44) in columns and (32, 32) in columns and (10, 10, 44) in columns and all(sum(c) == 64 for c in columns)
     x = packing.nnls(columns, have)
     a = np.zeros((65, len(columns)))
     for k, c in enumerate(columns):
@@ -420,6 +435,46 @@ def test_nnls():
     assert (x >= 0).all() and (gradient > -0.5).all() and abs(gradient @ x) < 0.001 * x.sum() * have.max()
     slots, _ = packing.plan(have, 64)
     assert sum(hi - lo for _, lo, hi, _, _ in slots) >= 250
+    used = np.zeros(65, np.int64)
+    for v, lo, hi, _, _ in slots:
+        assert lo == used[v]
+        used[v] = hi
+    assert (used <= have).all()
+
+
+def test_tables_belong_to_what_reads_them(spark):
+    from mortonlake.llm import common
+
+    a = common.table(spark.range(10).toDF("x"), "test-a")
+    path, b = a._stored_at, a.selectExpr("x + 1 AS y")
+    del a
+    for _ in range(5):
+        common.sweep(spark, True)
+    assert path in common.made(spark) and b.count() == 10
+    common.release(b)
+    assert path not in common.made(spark)
+    c = common.table(spark.range(10).toDF("x"), "test-c")
+    path = c._stored_at
+    del c
+    for _ in range(20):
+        common.sweep(spark, True)
+        if path not in common.made(spark):
+            break
+    assert path not in common.made(spark)
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_running(spark, keys):
+    from mortonlake.llm import common
+
+    rng = np.random.default_rng(3)
+    at = np.unique(rng.integers(0, 1 << 40, 300).tolist() + list(range(50)))
+    data = [(int(x), int(rng.integers(3)), int(rng.integers(9))) for x in at]
+    sums = Counter()
+    got = {r.at: r.upto for r in common.running(spark.createDataFrame(data, "at long, k long, v long"), "v", "at", "upto", keys).collect()}
+    for x, k, v in data:
+        assert got[x] == sums[k if keys else 0]
+        sums[k if keys else 0] += v
 
 
 def test_mixing(spark, docs, none):
