@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mortonlake.llm.common import forget, forget_paths, made, table
+from mortonlake.llm.common import forget, free_name, sweep, table
 from mortonlake.llm.jaccard_join import drop_near_duplicates
 from mortonlake.llm.line_dedup import line_dedup
 from mortonlake.llm.mixing import mix
-from mortonlake.llm.packing import pack
+from mortonlake.llm.packing import counted, pack
 from mortonlake.llm.quality_rules import quality_rules
 
 
@@ -32,30 +34,46 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source weights use them: each at least once, none more than twice."""
-    return mix(docs).select(*docs.columns)
+    """Documents as often as the source weights use them: each at least once, none more than twice, in the order of the mix.
 
+    Weights and budget count the ids that packing makes of the texts. The rows are dealt and sorted by
+    (epoch, block order, source), so the files of the result, in the order of their numbers, are in that order.
+    """
+    size = free_name(docs, "n_ids")
+    mixed = mix(counted(docs, size), n_tokens=F.col(size))
+    key = ["epoch", "block_order", "source"]
+    return mixed.repartitionByRange(*key).sortWithinPartitions(*key, "doc_id").select(*docs.columns)
+
+
+def written_order(docs: DataFrame) -> Column | None:
+    """Of a table that Spark wrote in one go: a number that rises from file to file and row to row; None for anything else."""
+    found = [re.match(r"part-(\d+)-.*c(\d{3})\b", f.rpartition("/")[2]) for f in docs.inputFiles()]
+    if not found or not all(found) or len({m.groups() for m in found}) < len(found) or "row_index" not in _metadata(docs):
+        return None
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).cast("long")
+    return (number(r"part-(\d+)-") * 1000 + number(r"c(\d{3})\b")) * F.lit(1 << 32) + F.col("_metadata.row_index")
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids, by sequence."""
-    return pack(docs)
 
+def _metadata(docs: DataFrame) -> list[str]:
+    try:
+        return docs.select("_metadata.*").columns
+    except AnalysisException:  # not a plain scan of files
+        return []
 
-#: Paths of what stages have left in the shared folder, by application.
-_left: dict[str, list[str]] = {}
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids, by sequence; sequences follow the order in which the documents were written."""
+    return pack(docs, order=written_order(docs))
 
 
 def _stage(work):
-    """The stage, after the tables that earlier stages worked with have gone: their results are written by then."""
+    """The stage, after the tables have gone that no result reads any more: those of earlier stages, once their results are written and dropped."""
 
     @wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        left = forget_paths(spark, _left.get(app, []), docs)
-        before = {*made(spark)}
-        out = work(spark, docs, sf_dir)
-        _left[app] = left + [p for p in made(spark) if p not in before]
-        return out
+        sweep(spark, collect=True)
+        return work(spark, docs, sf_dir)
 
     return run
 
