@@ -40,14 +40,14 @@ def words(t):
 
 
 def test_quality_rules(docs, none):
-    got = quality_rules.quality_rules(docs.withColumn("lang_", F.lit(3))).collect()
+    got = quality_rules.quality_rules(docs.withColumns({"lang_": F.lit(3), "__w": F.lit(4), "__lang": F.lit(5), "__l": F.lit(6)})).collect()
     assert len(got) == len(rows()) and quality_rules.quality_rules(none).count() == 0
     for r in got:
         w = (r.text or "").split()
         if r.doc_id != 9:
             assert r.n_words == len(w) and r.word_chars == sum(map(len, w))
         assert r.base_failed == (len(w) < 50) and (r.kept or r.base_failed or r.failed)
-        assert r.uid == "x" and r.lang_ == 3
+        assert r.uid == "x" and (r.lang_, r["__w"], r["__lang"], r["__l"]) == (3, 4, 5, 6)
 
 
 def test_repeat_words(spark):
@@ -65,11 +65,48 @@ def test_repeat_words(spark):
 def test_thresholds_follow_the_group(spark):
     """A source whose documents all have symbols keeps them; one such document elsewhere goes."""
     out = []
-    for k in range(60):
+    for k in range(400):
         out.append((k, " ".join(w + "##" for w in sentence(k, 60).split()), "en", "code"))
-        out.append((100 + k, sentence(1000 + k, 60) if k else " ".join(w + "##" for w in sentence(k, 60).split()), "en", "prose"))
-    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(out, "doc_id long, text string, lang string, source string")).collect()}
-    assert got[0] and got[59] and not got[100] and got[101]
+        out.append((1000 + k, sentence(1000 + k, 60) if k else " ".join(w + "##" for w in sentence(k, 60).split()), "en", "prose"))
+        if k < 5:
+            out.append((2000 + k, sentence(2000 + k, 60), "en", "few"))
+    docs = spark.createDataFrame(out, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()}
+    assert got[0] and got[399] and not got[1000] and got[1001]
+    limits = {r.source: r for r in quality_rules.fences(quality_rules.text_metrics(docs)).collect()}
+    assert limits["code"].high_symbols > 2 * limits["prose"].high_symbols and limits["code"].low_word_len > limits["prose"].low_word_len
+    assert limits["prose"].high_symbols < limits["few"].high_symbols  # few documents lean on their language
+
+
+def test_fences_equal_a_plain_computation(spark):
+    """Quartiles from all values, shrunk to the language's and the corpus's."""
+    rng = np.random.default_rng(8)
+    rows_ = [(lang, source, int(rng.integers(50, 400)), int(rng.integers(0, 60 if source == "x" else 9))) for lang in ("en", "de", None) for source, n in (("x", 300), ("y", 40), (None, 3)) for _ in range(n)]
+    names = ("word_chars", "n_upper", "n_dup_lines", "n_repeat_words")
+    df = spark.createDataFrame([(a, b, n, k, *[0] * 4) for a, b, n, k in rows_], f"lang string, source string, n_words long, n_symbols long, {', '.join(f'{c} long' for c in names)}")
+
+    def edge(v):
+        e = max(0, v.bit_length() - 7)
+        return ((v >> e) + 1 << e) - 1 if v >= 128 else v
+
+    def quarts(values):
+        values = sorted(edge(v) for v in values)
+        return [values[-(-len(values) * k // 4) - 1] for k in (1, 3)]
+
+    def shrink(n, own, up):
+        return [(n * o + quality_rules.PRIOR * u) // (n + quality_rules.PRIOR) for o, u in zip(own, up)]
+
+    value = lambda r: r[3] * 10_000 // r[2]
+    low = quality_rules.RESOLUTION
+    every = quarts([value(r) for r in rows_])
+    for got in quality_rules.fences(df).collect():
+        lang = [value(r) for r in rows_ if r[0] == got.lang]
+        own = [value(r) for r in rows_ if r[:2] == (got.lang, got.source)]
+        middle = shrink(len(lang), quarts(lang), every)
+        q1, q3 = shrink(len(own), quarts(own), middle)
+        r = next((b - a for a, b in ((q1, q3), middle, every) if b - a >= low), low)
+        assert got.docs == len(own) and got.high_symbols == q3 + quality_rules.WIDTH * r
+        assert got.high_upper == quality_rules.WIDTH * low
 
 
 def test_classifier(spark, docs, none):
