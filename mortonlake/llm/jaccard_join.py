@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, load, small_batches, table
 from .components import components
-from .shingles import MinHash, Words, mixed, shingle_set
+from .shingles import MinHash, mixed, shingle_set, word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE, LIGHT, BLOCK = 5, 0.8, 32, 4, 16, 1e-7, 64, 1024
 
@@ -49,11 +49,12 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, ha
 
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, minhash = Words(), MinHash(BANDS * ROWS)
+        minhash = MinHash(BANDS * ROWS)
         for b in batches:
             high, low, sizes, sigs = [], [], [], []
-            for t in b.column("text").to_pylist():
-                s = shingle_set(words(t), k)
+            words, at = word_hashes(b.column("text"))
+            for i in range(b.num_rows):
+                s = shingle_set(words[at[i] : at[i + 1]], k)
                 sizes.append(len(s))
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
                 high.append((h >> 64) - (1 << 63))
@@ -76,9 +77,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([shingle_set(words(t), k).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["cid", "shingles"])
+            words, at = word_hashes(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([shingle_set(words[at[i] : at[i + 1]], k).tobytes() for i in range(b.num_rows)], pa.binary())], ["cid", "shingles"])
 
     return run
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-REMEMBERED = 500_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -16,24 +17,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Words:
-    """64-bit hashes of the words of texts; a bounded number of words is remembered."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").split()
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a batch of texts, and where each text's begin, with their number last. Only the batch's distinct words are hashed."""
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))  # the six characters of common.SPACE
+    flat = lists.flatten()
+    real = np.asarray(pc.binary_length(flat)) > 0  # before a leading or after a trailing separator lies an empty one
+    upto = np.r_[0, np.cumsum(real)][np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+    if not real.all():
+        flat = flat.filter(pa.array(real))
+    each = flat.dictionary_encode()
+    distinct = pc.cast(each.dictionary, pa.binary() if each.type.value_type == pa.string() else pa.large_binary()).to_pylist()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    return known[np.asarray(each.indices)] if len(known) else np.zeros(0, np.uint64), upto
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
