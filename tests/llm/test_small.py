@@ -351,6 +351,47 @@ def test_passages_twice_in_a_document(spark, others):
         assert any(hit(got, d, at, o, f, 60) for o, f in [(0, 40), (0, 200), (1, 0), (2, 20), (2, 180), *[(3 + k, 20) for k in range(others)]] if o != d)
 
 
+def test_passages_equal_all_pairs(spark):
+    """The whole query over many small batches, against an alignment of every two documents that share a run of words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    lines = [sentence(41_000 + k, 25) for k in range(8)]
+    rng = np.random.default_rng(6)
+    made = [(10_000 + k, sentence(42_000 + k, 40) + "\n" + "\n".join(lines[i] for i in sorted(rng.choice(8, 5, replace=False))) + "\n" + sentence(43_000 + k, 30)) for k in range(40)]
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string")).repartition(3)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = defaultdict(list)
+    for r in substring_dedup.shared_passages(docs, batch_bytes=4000).collect():
+        assert r.identity >= 0.8 and min(r.end - r.start, r.other_end - r.other_start) >= 50
+        got[r.doc_id].append((r.start, r.end))
+        got[r.other_doc_id].append((r.other_start, r.other_end))
+    seen, word = {}, {d: words(t) for d, t in texts.items()}
+    heads = [d for d in sorted(word) if len(word[d]) >= 50 and seen.setdefault(tuple(word[d]), d) == d]
+    at = defaultdict(lambda: defaultdict(list))
+    for d in heads:
+        for i in range(len(word[d]) - 4):
+            at[tuple(word[d][i : i + 5])][d].append(i)
+    pairs = defaultdict(list)
+    for held in at.values():
+        for a in held:
+            for b in held:
+                if a < b:
+                    pairs[b, a] += [(x, y) for x in held[b] for y in held[a]]
+    number = {}
+    ints = {d: np.array([number.setdefault(w, len(number)) for w in word[d]], np.uint32) for d in heads}
+    want = found = 0
+    for (b, a), links in pairs.items():
+        links = np.array(links, np.int64)
+        for own in substring_dedup.chained([np.full(len(links), b), np.full(len(links), a), links[:, 0], links[:, 1]]):
+            blocks = np.frombuffer(own[3], np.int32).reshape(-1, 3).astype(np.int64)
+            bs, be, as_, ae, equal = substring_dedup.widened(substring_dedup.align(blocks, ints[b], ints[a], 0, 0), ints[b], ints[a], 0, 0, 50)
+            if min(be - bs, ae - as_) >= 50 and equal >= 0.8 * max(be - bs, ae - as_):
+                for d, s, e in ((b, bs, be), (a, as_, ae)):
+                    want += 1
+                    found += max((min(e, y) - max(s, x) for x, y in got[d]), default=0) >= 0.6 * (e - s)
+    print("passages", want, "found", found)
+    assert want > 100 and found >= 0.99 * want, (want, found)
+
+
 def test_chains_equal_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
