@@ -83,7 +83,8 @@ def clamp_lng(lng: Column) -> Column:
 def wrap_lng(lng: Column) -> Column:
     """Into [-180, 180] by whole turns; both ends stay. Infinities give null."""
     lng = F.when(F.abs(lng) != float("inf"), lng)
-    return F.when(lng > MAX_LNG, lng - 360.0 * F.ceil((lng - MAX_LNG) / 360.0)).when(lng < MIN_LNG, lng + 360.0 * F.ceil((MIN_LNG - lng) / 360.0)).otherwise(lng)
+    near = F.when(lng > MAX_LNG, lng - 360.0 * F.ceil((lng - MAX_LNG) / 360.0)).when(lng < MIN_LNG, lng + 360.0 * F.ceil((MIN_LNG - lng) / 360.0)).otherwise(lng)
+    return F.when(F.abs(lng) < 1e15, near).otherwise(F.when(F.isnan(lng), lng).otherwise(lng % 360.0 - F.when(lng % 360.0 > MAX_LNG, 360.0).when(lng % 360.0 < MIN_LNG, -360.0).otherwise(0.0)))  # beyond, turns overflow a long
 
 
 def time_ms() -> float:

@@ -29,10 +29,10 @@ def project(points: DataFrame, id: str = "id", lat: str = "lat", lng: str = "lng
 
 
 class PointIndex:
-    """Immutable: every method returns a new index. Only build() and load() give one that can be searched."""
+    """Every method that changes points returns a new index. Only build() and load() give one that can be searched."""
 
-    def __init__(self, frame: DataFrame, built: bool = False) -> None:
-        self.frame, self.built = frame, built
+    def __init__(self, frame: DataFrame, built: bool = False, persisted: bool = False) -> None:
+        self.frame, self.built, self.persisted = frame, built, persisted
 
     @staticmethod
     def create(spark: SparkSession) -> PointIndex:
@@ -55,21 +55,23 @@ class PointIndex:
         """Sorted by (z_ord, id): the one shuffle of the index. Idempotent."""
         if self.built:
             return self
-        by = ["z_ord"]
+        by = ["z_ord", "id"]  # many points at one position are no single partition
         ranged = self.frame.repartitionByRange(partitions, *by) if partitions else self.frame.repartitionByRange(*by)
         out = ranged.sortWithinPartitions("z_ord", "id")
-        return PointIndex(out.persist() if persist else out, True)
+        return PointIndex(out.persist() if persist else out, True, persist)
 
     def lazily_built(self) -> PointIndex:
         """Searchable without a sort: right for one search over a scan, where nothing would be skipped anyway."""
         return PointIndex(self.frame, True)
 
     def clear(self) -> PointIndex:
-        self.frame.unpersist()
+        """An index without points; this one stays as it is."""
         return PointIndex.create(self.spark)
 
     def destroy(self) -> None:
-        self.frame.unpersist()
+        """Free what build(persist=True) keeps; a frame that the caller persisted is the caller's."""
+        if self.persisted:
+            self.frame.unpersist()
 
     def save(self, path: str, rows_per_file: int = 4_000_000) -> PointIndex:
         """As Parquet, sorted, so that a Z-range skips files, row groups and pages by their minima and maxima."""

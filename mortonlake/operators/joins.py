@@ -75,26 +75,33 @@ def region_counts(regions: DataFrame, index: PointIndex, cell: float = 10.0) ->
 
 
 def knn_join(centers: DataFrame, index: PointIndex, k: int, max_radius_km: float) -> DataFrame:
-    """qid, rank, id, z_ord, lat, lng, distance_km: for each centre what knn_search finds."""
+    """qid, rank, id, z_ord, lat, lng, distance_km: for each centre what knn_search finds.
+
+    Ring by ring: all centres search the smallest circle; those that hold fewer than k points there go
+    on to the next, of twice the radius, so most pairs of a wide ring are never made. The k best are taken as a ring ends.
+    Rows that repeat a centre (qid, lat and lng) count once; a qid with several positions is searched
+    from each, with ranks of its own for each. What a ring found (at most k rows a centre) is kept persisted for the result.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
     radii = rings(max_radius_km)
     if not radii:
         raise ValueError("max_radius_km must be at least 1")
-    c = centers.select("qid", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
-    found = distance_join(centers.select("qid", "lat", "lng"), index, radii[-1]).join(c, "qid")
-    ring = None
+    at = F.struct("qid", "lat", "lng")
+    left = centers.select("qid", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).distinct().select(at.alias("qid"), "lat", "lng")
+    out, best = None, Window.partitionBy("qid").orderBy("distance_km", "id", "z_ord")
     for i, r in enumerate(radii):
-        b = bounding_box(F.col("c_lat"), F.col("c_lng"), r)
-        held = F.col("lat").between(b["min_lat"], b["max_lat"]) & F.col("lng").between(b["min_lng"], b["max_lng"]) & (F.col("distance_km") <= r)
-        ring = F.when(held, i) if ring is None else ring.when(held, i)
-    ringed = found.withColumn("ring", ring)
-    upto = Window.partitionBy("qid").orderBy("ring").rowsBetween(Window.unboundedPreceding, 0)  # at most four rows a centre
-    held = ringed.groupBy("qid", "ring").agg(F.count("*").alias("n")).withColumn("held", F.sum("n").over(upto))
-    chosen = held.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("held") >= k, F.col("ring"))), F.lit(len(radii) - 1)).alias("chosen"))
-    near = ringed.join(chosen, "qid").filter(F.col("ring") <= F.col("chosen"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance_km", "id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "rank", "id", "z_ord", "lat", "lng", "distance_km")
+        near = distance_join(left, index, r).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        last = i == len(radii) - 1
+        near = near if last else near.persist()  # at most k rows a centre
+        full = near.filter(F.col("rank") == k).select(F.col("qid").alias("full"))
+        done = near if last else near.join(full, F.col("qid") == F.col("full"), "left_semi")
+        out = done if out is None else out.unionByName(done)
+        if not last:
+            left = left.join(full, F.col("qid") == F.col("full"), "left_anti").persist()
+            if left.isEmpty():
+                break
+    return out.select("qid.qid", "rank", "id", "z_ord", "lat", "lng", "distance_km")
 
 
 def radius_sweep(index: PointIndex, lat: float, lng: float, radii: list[float]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EARTH_RADIUS_KM, MAX_LAT, MAX_LNG, MIN_LAT, MIN_LNG
 from ..functions.geo import haversine_km
-from ..plans.ranges import Box, box, merge_ranges, rings, z_bounds
+from ..plans.ranges import Box, box, grid_ranges, merge_ranges, rings, z_bounds
 from .index import PointIndex
 
 RESULT = ("id", "z_ord", "lat", "lng", "distance_km")
@@ -41,33 +41,52 @@ def without_duplicates(rows: DataFrame, dedup: str = "exact") -> DataFrame:
     return rows.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("__before") != F.col("id"))).drop("__before")
 
 
-def _circle(lat: float, lng: float, radius_km: float) -> Column:
+def _circle(lat: float, lng: float, radius_km: float) -> list[Box]:
     """A box, or two across the antimeridian, that holds the whole great circle."""
     angle = radius_km / EARTH_RADIUS_KM
     dlat = math.degrees(angle) + 1e-9
-    rows = F.col("lat_q").between(lat - dlat, lat + dlat)
+    south, north = max(lat - dlat, MIN_LAT), min(lat + dlat, MAX_LAT)
+    every = [Box(south, north, MIN_LNG, MAX_LNG)]
     if lat + dlat >= MAX_LAT or lat - dlat <= MIN_LAT or angle >= math.pi / 2:
-        return rows
+        return every
     dlng = math.degrees(math.asin(min(1.0, math.sin(angle) / math.cos(math.radians(lat))))) + 1e-9
     west, east = lng - dlng, lng + dlng
-    x = F.col("lng_q")
     if dlng >= 180:
-        return rows
+        return every
     if west < MIN_LNG:
-        return rows & ((x <= east) | (x >= west + 360))
+        return [Box(south, north, MIN_LNG, east), Box(south, north, west + 360, MAX_LNG)]
     if east > MAX_LNG:
-        return rows & ((x >= west) | (x <= east - 360))
-    return rows & x.between(west, east)
+        return [Box(south, north, west, MAX_LNG), Box(south, north, MIN_LNG, east - 360)]
+    return [Box(south, north, west, east)]
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
 
+def _within(index: PointIndex, b: Box, level: int) -> DataFrame:
+    """The rows of a box's Z-range or, with a level, of the Z-ranges of a grid of 4**level cells over it, merged: fewer rows beside the box."""
+    if not level:
+        return index.between(*z_bounds(b))
+    return index.rows().filter(_any([F.col("z_ord").between(low, high) for low, high in merge_ranges(grid_ranges(b, 1 << level))]))
 
-def radius_search(index: PointIndex, lat: float, lng: float, radius_km: float, dedup: str = "exact", exact: bool = False) -> DataFrame:
-    """id, z_ord, lat, lng, distance_km of the points within radius_km. A negative radius finds none."""
+
+def radius_search(index: PointIndex, lat: float, lng: float, radius_km: float, dedup: str = "exact", exact: bool = False, level: int = 0) -> DataFrame:
+    """id, z_ord, lat, lng, distance_km of the points within radius_km. A negative radius finds none.
+
+    level: search the Z-ranges of a grid over the box instead of its one range, which is long
+    where the box lies across the equator, the prime meridian or another high bit.
+    """
     if exact:
-        rows = index.rows().filter(_circle(lat, lng, radius_km))
-        box_test = F.lit(True)
+        boxes = _circle(lat, lng, radius_km)
+        rows = index.rows().filter(_any([F.col("z_ord").between(*z_bounds(b)) for b in boxes]))
+        box_test = _any([inside(b) for b in boxes])
     else:
         b = box(lat, lng, radius_km)
-        rows, box_test = index.between(*z_bounds(b)), inside(b)
+        rows, box_test = _within(index, b, 0 if dedup == "adjacent" else level), inside(b)
     if dedup == "adjacent":
         rows = without_duplicates(rows, dedup)
     rows = rows.filter(box_test).withColumn("distance_km", _distance(lat, lng)).filter(F.col("distance_km") <= radius_km)
@@ -75,10 +94,10 @@ def radius_search(index: PointIndex, lat: float, lng: float, radius_km: float, d
     return rows.select("id", "z_ord", F.col("lat_q").alias("lat"), F.col("lng_q").alias("lng"), "distance_km")
 
 
-def bbox_search(index: PointIndex, min_lat: float, max_lat: float, min_lng: float, max_lng: float) -> DataFrame:
-    """id, z_ord, lat, lng of the points in the box, limits included, duplicates too. An inverted box finds none."""
+def bbox_search(index: PointIndex, min_lat: float, max_lat: float, min_lng: float, max_lng: float, level: int = 0) -> DataFrame:
+    """id, z_ord, lat, lng of the points in the box, limits included, duplicates too. An inverted box finds none. level: as in radius_search."""
     b = Box(min_lat, max_lat, min_lng, max_lng)
-    return index.between(*z_bounds(b)).filter(inside(b)).select("id", "z_ord", F.col("lat_q").alias("lat"), F.col("lng_q").alias("lng"))
+    return _within(index, b, level).filter(inside(b)).select("id", "z_ord", F.col("lat_q").alias("lat"), F.col("lng_q").alias("lng"))
 
 
 def ranges_search(index: PointIndex, ranges: list[tuple[int, int]]) -> DataFrame:
@@ -101,8 +120,9 @@ def knn_search(index: PointIndex, lat: float, lng: float, k: int, max_radius_km:
     """The k nearest points by (distance, id), from the first ring that holds k of them, else the last.
 
     Rings start at a tenth of max_radius_km and double while within it (at most four), so
-    points beyond the last are never found. One scan finds each row's ring and counts rows by
-    ring; a second takes the k best of the rings in question.
+    points beyond the last are never found. One scan counts the rows of each ring; that
+    names the first ring that can hold k. Duplicates are told apart within that ring's rows only, and
+    where they leave fewer than k the next ring is tried. The k best come from that ring's own Z-range.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -110,32 +130,33 @@ def knn_search(index: PointIndex, lat: float, lng: float, k: int, max_radius_km:
     if not radii:
         raise ValueError("max_radius_km must be at least 1")
     boxes = [box(lat, lng, r) for r in radii]
-    rows = index.between(*z_bounds(boxes[-1]))
-    if dedup == "adjacent":
-        rows = without_duplicates(rows, dedup)
-    rows = rows.filter(inside(boxes[-1])).withColumn("distance_km", _distance(lat, lng))
-    rows = rows.withColumn("ring", ring_of(F.col("distance_km"), boxes, radii)).filter("ring is not null")
+
+    def upto(ring: int) -> DataFrame:
+        rows = index.between(*z_bounds(boxes[ring]))
+        if dedup == "adjacent":
+            rows = without_duplicates(rows, dedup)
+        rows = rows.filter(inside(boxes[ring])).withColumn("distance_km", _distance(lat, lng))
+        return rows.withColumn("ring", ring_of(F.col("distance_km"), boxes, radii)).filter(F.col("ring") <= ring)
+
+    counts = {r[0]: r[1] for r in upto(len(radii) - 1).groupBy("ring").count().collect()}  # at most four rows
+    held = [sum(counts.get(i, 0) for i in range(ring + 1)) for ring in range(len(radii))]
+    chosen = next((ring for ring, n in enumerate(held) if n >= k), len(radii) - 1)
+    while dedup == "exact" and chosen < len(radii) - 1 and upto(chosen).dropDuplicates(["id", "z_ord"]).limit(k).count() < k:
+        chosen += 1
+    found = upto(chosen)
     if dedup == "exact":
-        rows = rows.dropDuplicates(["id", "z_ord"])
-    counts = {r[0]: r[1] for r in rows.groupBy("ring").count().collect()}  # at most four rows
-    chosen, held = len(radii) - 1, 0
-    for ring in range(len(radii)):
-        held += counts.get(ring, 0)
-        if held >= k:
-            chosen = ring
-            break
-    found = rows.filter(F.col("ring") <= chosen).orderBy("distance_km", "id").limit(k)
-    return found.select("id", "z_ord", F.col("lat_q").alias("lat"), F.col("lng_q").alias("lng"), "distance_km")
+        found = found.dropDuplicates(["id", "z_ord"])
+    return found.orderBy("distance_km", "id").limit(k).select("id", "z_ord", F.col("lat_q").alias("lat"), F.col("lng_q").alias("lng"), "distance_km")
 
 
 def lower_bound(index: PointIndex, z_ord: int) -> DataFrame:
     """position: of the first row with a code of at least z_ord, in Z order."""
-    return index.rows().agg(F.count(F.when(F.col("z_ord") < z_ord, 1)).alias("position"))
+    return index.rows().filter(F.col("z_ord") < z_ord).agg(F.count("*").alias("position"))
 
 
 def upper_bound(index: PointIndex, z_ord: int) -> DataFrame:
     """position: of the first row with a greater code."""
-    return index.rows().agg(F.count(F.when(F.col("z_ord") <= z_ord, 1)).alias("position"))
+    return index.rows().filter(F.col("z_ord") <= z_ord).agg(F.count("*").alias("position"))
 
 
 def sort_by_z(rows: DataFrame) -> DataFrame:

@@ -51,7 +51,11 @@ def build_ranges_adaptive(lat: float, lng: float, radius_km: float, most: int, l
     n = 1 << max(0, level)
     if n * n > most:
         n = math.isqrt(most)
-    b = box(lat, lng, radius_km)
+    return grid_ranges(box(lat, lng, radius_km), n)
+
+
+def grid_ranges(b: Box, n: int) -> list[tuple[int, int]]:
+    """A range for each cell of an n by n grid over a box, row by row."""
     dlat, dlng = (b.max_lat - b.min_lat) / n, (b.max_lng - b.min_lng) / n
     out = []
     for i in range(n):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from tempfile import mkdtemp
+from uuid import uuid4
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from .operators import batch, joins, search
 from .operators.index import PointIndex, project
 from .plans.ranges import Box, box, build_ranges, build_ranges_adaptive, merge_ranges, ranges_frame, rings, z_bounds
 from .sources import points as src
+from .streaming import ingest
 
 LAT, LNG = -23.5505, -46.6333
 SOUTH_AMERICA = Box(-56.0, 13.0, -82.0, -34.0)
@@ -93,7 +98,7 @@ def _index_sql(points: str, name: str = "idx") -> str:
 
 def _hav(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
     a = f"sin(radians({lat2} - {lat1}) / 2) ** 2 + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lng2} - {lng1}) / 2) ** 2"
-    return f"({_d(2 * EARTH_RADIUS_KM)} * asin(sqrt(least(1.0::DOUBLE, {a}))))"
+    return f"({_d(EARTH_RADIUS_KM)} * 2 * atan2(sqrt({a}), sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE - ({a})))))"
 
 
 def _fast(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
@@ -223,9 +228,11 @@ _KEYS_SQL = ", ".join(f"CAST('{k}' AS BIGINT)" for k in KEYS)
 
 @register(f"WITH {_index_sql(WORLD)}, keys AS (SELECT unnest([{_KEYS_SQL}]) AS key) SELECT key, count(*) FILTER (z_ord < key) AS lower_bound, count(*) FILTER (z_ord <= key) AS upper_bound FROM keys, idx GROUP BY key")
 def lower_upper_bound(spark, sf_dir):
-    rows = _index(src.world_points(spark, sf_dir)).rows()
-    counts = rows.agg(*[F.count(F.when(F.col("z_ord") < k, 1)).alias(f"l{i}") for i, k in enumerate(KEYS)], *[F.count(F.when(F.col("z_ord") <= k, 1)).alias(f"u{i}") for i, k in enumerate(KEYS)])
-    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"l{i}").alias("lower_bound"), F.col(f"u{i}").alias("upper_bound")) for i, k in enumerate(KEYS)])).alias("r")).select("r.*")
+    index, out = _index(src.world_points(spark, sf_dir)), None
+    for k in KEYS:
+        row = search.lower_bound(index, k).select(F.lit(k).alias("key"), F.col("position").alias("lower_bound")).join(search.upper_bound(index, k).select(F.lit(k).alias("key"), F.col("position").alias("upper_bound")), "key")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # --- searches ----------------------------------------------------------------------
@@ -407,6 +414,124 @@ def ranges_search(spark, sf_dir):
     return search.ranges_search(_index(src.bulk_points(spark, sf_dir)), ranges).select("id", "z_ord")
 
 
-@register()
+@register(f"SELECT true AS available, 'Spark {pyspark.__version__}' AS name, 4096 AS batch_size")
 def engine_info(spark, sf_dir):
     return info.engine_info(spark)
+
+
+# --- a built index, its life, and what reads it -------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in that of spark.checkpoint.dir, which executors share; where that is unset, a local master's own."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return f"{top or mkdtemp(prefix='points-')}/points-{uuid4().hex}"
+
+
+def _saved(points: DataFrame) -> PointIndex:
+    """A built index, written and read back: searches meet it as Parquet with minima and maxima."""
+    spark = points.sparkSession
+    return PointIndex.create(spark).add_batch(points).build().save(_folder(spark))
+
+
+@register(_radius_sql(WORLD, LAT, LNG, 2000))
+def radius_search_saved(spark, sf_dir):
+    return _rounded(search.radius_search(_saved(src.world_points(spark, sf_dir)), LAT, LNG, 2000.0))
+
+
+@register(_radius_sql(BULK, 0, 0, 1500))
+def radius_search_adaptive(spark, sf_dir):
+    return _rounded(search.radius_search(_saved(src.bulk_points(spark, sf_dir)), 0.0, 0.0, 1500.0, level=3))
+
+
+@register(f"WITH {_index_sql(BULK)} SELECT id, z_ord, lat_q AS lat, lng_q AS lng FROM idx WHERE {_in(Box(-10.0, 15.0, -12.0, 9.0))}")
+def bbox_search_saved(spark, sf_dir):
+    return search.bbox_search(_saved(src.bulk_points(spark, sf_dir)), -10.0, 15.0, -12.0, 9.0, level=3)
+
+
+@register(f"SELECT id, z_ord, lat, lng, round(d, 6) AS distance_km FROM ({_knn_sql(10, 10000)})")
+def knn_search_saved(spark, sf_dir):
+    return _rounded(search.knn_search(_saved(src.world_points(spark, sf_dir)), LAT, LNG, 10, 10000.0))
+
+
+@register(f"WITH {_JOINED} SELECT qid, count(id) AS n FROM c LEFT JOIN idx ON {_NEAR} GROUP BY qid")
+def distance_join_counts_saved(spark, sf_dir):
+    return joins.distance_join_counts(src.query_points(spark, sf_dir), _saved(src.world_points(spark, sf_dir)), 1000.0)
+
+
+def _ring_stats_sql(k: int, most: float) -> str:
+    parts = []
+    for i, r in enumerate(rings(most)):
+        z, d = z_bounds(box(LAT, LNG, r)), _hav(_d(LAT), _d(LNG), "lat_q", "lng_q")
+        parts.append(f"SELECT {i} AS ring, (SELECT count(*) FROM idx WHERE z_ord BETWEEN {z[0]} AND {z[1]}) AS records_scanned, (SELECT count(*) FROM (SELECT DISTINCT id, z_ord FROM idx WHERE {_in(box(LAT, LNG, r))} AND {d} <= {_d(r)})) AS records_matched")
+    last = len(parts) - 1
+    return f"WITH {_index_sql(WORLD)}, r AS ({' UNION ALL '.join(parts)}) SELECT records_scanned, records_matched, 1 AS ranges_checked FROM r WHERE ring = (SELECT coalesce(min(ring) FILTER (records_matched >= {k}), {last}) FROM r)"
+
+
+@register(_ring_stats_sql(10, 10000))
+def knn_stats(spark, sf_dir):
+    return search.knn_stats(_saved(src.world_points(spark, sf_dir)), LAT, LNG, 10, 10000.0)
+
+
+@register(f"WITH {_index_sql(BULK)} SELECT id, z_ord, row_number() OVER (ORDER BY z_ord, id) AS by_z, row_number() OVER (ORDER BY id, z_ord) AS by_id FROM (SELECT DISTINCT id, z_ord FROM idx WHERE {_in(box(LAT, LNG, 1000))} AND {_hav(_d(LAT), _d(LNG), 'lat_q', 'lng_q')} <= 1000)")
+def sorted_by_z_and_id(spark, sf_dir):
+    """The places of one search's results in either order: of one sorted partition, as its size is the caller's radius."""
+    found = search.radius_search(_index(src.bulk_points(spark, sf_dir)), LAT, LNG, 1000.0).select("id", "z_ord").coalesce(1)
+    place = lambda rows, out: rows.select("id", "z_ord", (F.monotonically_increasing_id() + 1).alias(out))
+    by_z = place(search.sort_by_z(found).coalesce(1), "by_z")
+    return by_z.join(place(search.sort_by_id(found).coalesce(1), "by_id"), ["id", "z_ord"])
+
+
+@register(f"SELECT id, true AS within_two_percent FROM ({WORLD})")
+def approximate_distance(spark, sf_dir):
+    rows = batch.haversine_batch(batch.haversine_batch(src.world_points(spark, sf_dir), LAT, LNG), LAT, LNG, out="near_km", approximate=True)
+    return rows.select("id", (F.abs(F.col("near_km") - F.col("distance_km")) <= 0.02 * F.col("distance_km") + 20.0).alias("within_two_percent"))
+
+
+#: The five points of the small demonstration.
+DEMO = [(10, -23.55052, -46.633309), (11, -23.559, -46.64), (12, -23.5874162, -46.6576336), (13, -23.4542, -46.5333), (14, -22.9068, -43.1729)]
+_DEMO_SQL = f"SELECT * FROM (VALUES {', '.join(f'({i}::BIGINT, {_d(a)}, {_d(b)})' for i, a, b in DEMO)}) t(id, lat, lng)"
+_DEMO_AT = DEMO[0][1:]
+_DEMO_D = _hav(_d(_DEMO_AT[0]), _d(_DEMO_AT[1]), "lat_q", "lng_q")
+
+
+@register(
+    f"WITH {_index_sql(_DEMO_SQL)} SELECT 'radius' AS search, id, round({_DEMO_D}, 6) AS distance_km FROM idx WHERE {_in(box(*_DEMO_AT, 5))} AND {_DEMO_D} <= 5 UNION ALL "
+    f"SELECT 'nearest', id, d FROM (SELECT id, round({_DEMO_D}, 6) AS d FROM idx WHERE {_in(box(*_DEMO_AT, 100))} AND {_DEMO_D} <= 100 ORDER BY {_DEMO_D} LIMIT 3) UNION ALL "
+    f"SELECT 'box', id, round({_DEMO_D}, 6) FROM idx WHERE {_in(Box(-24.0, -23.0, -47.0, -46.0))}"
+)
+def mini_demo(spark, sf_dir):
+    """Points added one by one and together, cleared, added again and built; then each kind of search."""
+    index = PointIndex.create(spark).add(99, 0.0, 0.0).clear()
+    for row in DEMO[:2]:
+        index = index.add(*row)
+    index = index.add_batch(spark.createDataFrame(DEMO[2:], "id long, lat double, lng double")).build(2, persist=True)
+    at = geo.haversine_km(*_DEMO_AT, F.col("lat"), F.col("lng"))
+    found = {"radius": search.radius_search(index, *_DEMO_AT, 5.0), "nearest": search.knn_search(index, *_DEMO_AT, 3, 1000.0), "box": search.bbox_search(index, -24.0, -23.0, -47.0, -46.0)}
+    out = None
+    for name, rows in found.items():
+        rows = rows.select(F.lit(name).alias("search"), "id", F.round(at, 6).alias("distance_km"))
+        out = rows if out is None else out.unionByName(rows)
+    index.destroy()
+    return out
+
+
+@register("SELECT name, (SELECT count(*) FROM customer) AS operations, true AS timed FROM (VALUES ('encode'), ('decode'), ('haversine'), ('filter_radius')) t(name)")
+def benchmark_operations(spark, sf_dir):
+    """Each batch operator timed once; times differ from run to run, so only that they are positive is a column."""
+    began = geo.time_ms()
+    runs = [info.benchmark(src.world_points(spark, sf_dir), n) for n in ("encode", "decode", "haversine", "filter_radius")]
+    assert geo.time_ms() >= began
+    return spark.createDataFrame([(r["name"], int(r["operations"]), r["ms"] > 0 and r["per_second"] > 0) for r in runs], "name string, operations long, timed boolean")
+
+
+@register(f"WITH {_index_sql(DENSE)} SELECT id, z_ord FROM idx")
+def stream_ingest(spark, sf_dir):
+    """Points added from a stream of files, then compacted to one sorted index."""
+    top = _folder(spark)
+    src.dense_points(spark, sf_dir).repartition(3).write.parquet(f"{top}/in")
+    points = spark.readStream.schema("id long, lat double, lng double").option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    ingest.ingest(points, f"{top}/batches", f"{top}/log", availableNow=True).awaitTermination()
+    return ingest.compact(spark, f"{top}/batches", f"{top}/index").rows().select("id", "z_ord")

@@ -26,3 +26,8 @@ def ingest(points: DataFrame, path: str, checkpoint: str, **trigger) -> Streamin
 def load(spark: SparkSession, path: str) -> PointIndex:
     """What ingest() has written; each file is sorted, so Z-ranges skip row groups."""
     return PointIndex(spark.read.schema(f"{INDEX}, batch long").parquet(path).drop("batch"), True)
+
+
+def compact(spark: SparkSession, path: str, into: str) -> PointIndex:
+    """All batches that ingest() has written so far, sorted together into one index at `into`: one run instead of one for each batch."""
+    return PointIndex(load(spark, path).frame).save(into)
