@@ -1,12 +1,14 @@
 """Language-model scores by a small causal self-attention model, trained and run in numpy.
 
 Words are counted over all training documents; counts of subword ids follow from
-them. The frequent ids are classes of their own, the others share classes of about
-equal mass. The model gives the next class from a window of ids (one attention layer with a
-causal mask, one feed-forward layer), and the counts give an id within its class, so
-every text has a probability. Weights start at the counts' class frequencies and are trained
-in rounds: each task runs Adam over its own training windows and the results are averaged.
-Every window of every training document trains, once, in one of the rounds.
+them. The model (one attention layer with a causal mask, one feed-forward layer) gives the
+next id from a window of ids in two steps, both from the context: a softmax over GROUPS
+groups of ids, and one over the MEMBERS of the group. Only the rarest ids, some hundredths
+of a per cent of a corpus's, share a few members; the counts give an id within such a member, so
+every text has a probability. Two small softmaxes cost a sixteenth of one over all members.
+Weights start at the counts' frequencies and are trained in rounds: each task runs Adam
+over its own training windows and the results are averaged. Every window of every
+training document trains, once, in one of the rounds.
 
 A document is scored in overlapping windows, in batches: each token once, with at
 least OVERLAP tokens before it in its window unless the text starts there.
@@ -30,9 +32,10 @@ from pyspark.sql import functions as F
 from .common import fold, gathered, load, small_batches, table
 
 MODEL, BOS, EOS = "piece_bpe_32k.model", 1, 2
-LENGTH, OVERLAP, BATCH, WIDTH, HIDDEN = 64, 8, 32, 16, 32
-SINGLES, BINS, INPUTS = 176, 16, 2048
-ROUNDS, RATE, TRAIN_BATCH = 4, 0.02, 64
+LENGTH, OVERLAP, BATCH, WIDTH, HIDDEN = 64, 8, 32, 16, 48
+GROUPS, MEMBERS, BINS, INPUTS = 32, 32, 16, 2048
+SINGLES = GROUPS * MEMBERS - BINS
+ROUNDS, RATE, TRAIN_BATCH = 4, 0.04, 64
 COMMON, REMEMBERED = 200_000, 700_000
 
 _pieces: dict = {}
@@ -112,7 +115,7 @@ class Classes:
         tail = smooth[order[SINGLES:]]
         share = np.minimum((np.cumsum(tail) / tail.sum() * BINS).astype(int), BINS - 1) if len(tail) else np.zeros(0, int)
         self.of = np.empty(len(counts), np.int64)
-        self.of[order[:SINGLES]] = np.arange(min(SINGLES, len(counts)))
+        self.of[order[:SINGLES]] = np.arange(min(SINGLES, len(counts)))  # groups of about equally frequent ids
         self.of[order[SINGLES:]] = SINGLES + share
         mass = np.bincount(self.of, smooth, minlength=SINGLES + BINS)
         self.inside = np.log(smooth / mass[self.of])
@@ -123,7 +126,7 @@ class Classes:
 class Model:
     """Weights by name; float32."""
 
-    NAMES = ("embed", "place", "q", "k", "v", "o", "up", "up0", "down", "out", "out0")
+    NAMES = ("embed", "place", "q", "k", "v", "o", "up", "up0", "down", "out", "out0", "in", "in0")
 
     def __init__(self, w: dict[str, np.ndarray]) -> None:
         self.w = w
@@ -132,9 +135,12 @@ class Model:
     @staticmethod
     def fresh(prior: np.ndarray, seed: int = 3) -> Model:
         rng = np.random.default_rng(seed)
-        shapes = {"embed": (INPUTS, WIDTH), "place": (LENGTH, WIDTH), **{k: (WIDTH, WIDTH) for k in "qkvo"}, "up": (WIDTH, HIDDEN), "up0": (HIDDEN,), "down": (HIDDEN, WIDTH), "out": (WIDTH, len(prior))}
-        w = {n: (rng.normal(0, 0.3 if n == "embed" else 0.05 if n == "place" else s[0] ** -0.5, s) * (n != "up0")).astype(np.float32) for n, s in shapes.items()}
-        return Model(w | {"out": w["out"] * 0.1, "out0": prior.astype(np.float32)})
+        shapes = {"embed": (INPUTS, WIDTH), "place": (LENGTH, WIDTH), **{k: (WIDTH, WIDTH) for k in "qkvo"}, "up": (WIDTH, HIDDEN), "up0": (HIDDEN,), "down": (HIDDEN, WIDTH), "out": (WIDTH, GROUPS), "in": (GROUPS, WIDTH, MEMBERS)}
+        w = {n: (rng.normal(0, 0.3 if n == "embed" else 0.05 if n == "place" else s[-2] ** -0.5 if len(s) > 1 else 1, s) * (n != "up0")).astype(np.float32) for n, s in shapes.items()}
+        prior = prior.reshape(GROUPS, MEMBERS)
+        most = prior.max(axis=1, keepdims=True)
+        group = most + np.log(np.exp(prior - most).sum(axis=1, keepdims=True))
+        return Model(w | {"out": w["out"] * 0.1, "in": w["in"] * 0.1, "out0": group[:, 0].astype(np.float32), "in0": (prior - group).astype(np.float32)})
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.w[n].ravel() for n in self.NAMES])
@@ -150,8 +156,9 @@ class Model:
     def hidden(self, rows: np.ndarray) -> tuple:
         """rows: windows of input rows. What the backward pass needs; last, the output of the layers."""
         w, n = self.w, rows.shape[1]
-        x = w["embed"][rows] + w["place"][:n]
-        q, k, v = x @ (w["q"] * WIDTH**-0.5), x @ w["k"], x @ w["v"]
+        x = w["embed"][rows]
+        x += w["place"][:n]
+        q, k, v = (self._times(x, m) for m in (w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"]))
         s = q @ k.transpose(0, 2, 1)
         with np.errstate(over="ignore", invalid="ignore"):
             e = np.exp(s)
@@ -163,56 +170,98 @@ class Model:
         s = e
         s /= total[:, :, None]
         mixed = s @ v
-        y = x + mixed @ w["o"]
-        u = np.tanh(y @ w["up"] + w["up0"])
-        return x, q, k, v, s, mixed, y, u, y + u @ w["down"]
+        y = self._times(mixed, w["o"])
+        y += x
+        u = self._times(y, w["up"])
+        u += w["up0"]
+        np.maximum(u, 0, out=u)
+        h = self._times(u, w["down"])
+        h += y
+        return x, q, k, v, s, mixed, y, u, h
+
+    @staticmethod
+    def _times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """x @ m as one product of matrices."""
+        return (x.reshape(-1, x.shape[-1]) @ m).reshape(*x.shape[:-1], m.shape[1])
+
+    def _softmax(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of each row, with the rows' sums; z is overwritten. What they lack of the true ones cancels."""
+        with np.errstate(over="ignore"):
+            e = np.exp(z, out=z.copy())
+            total = e @ np.ones(z.shape[1], np.float32)
+        if not (np.isfinite(total).all() and total.min() > 0):  # so rare that the greatest is sought only then
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            total = e @ np.ones(z.shape[1], np.float32)
+        return e, total
 
     def logs(self, rows: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
         """Natural logs of the classes' probabilities at each place of each window after the first `skip`."""
-        h = self.hidden(rows)[-1][:, skip:]
-        z = h.reshape(-1, WIDTH) @ self.w["out"]
-        z += self.w["out0"]
-        own = np.take_along_axis(z, target[:, skip:].reshape(-1, 1), axis=1)[:, 0].astype(np.float64)
-        with np.errstate(over="ignore"):
-            total = np.exp(z) @ np.ones(z.shape[1], np.float32)
-        if np.isfinite(total).all() and total.min() > 0:
-            logs = np.log(total.astype(np.float64))
-        else:
-            most = z.max(axis=1).astype(np.float64)
-            logs = most + np.log(np.exp(z - most[:, None]).sum(axis=1))
-        return (own - logs).reshape(len(rows), -1)
+        h = self.hidden(rows)[-1][:, skip:].reshape(-1, WIDTH)
+        group, member = np.divmod(target[:, skip:].ravel(), MEMBERS)
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        e, total = self._softmax(h @ self.w["out"] + self.w["out0"])
+        out = e[np.arange(len(h)), group].astype(np.float64) / total
+        h, member, inside = h[order], member[order], np.empty(len(h))
+        for k in range(GROUPS):
+            s, t = int(cut[k]), int(cut[k + 1])
+            if s < t:
+                e, total = self._softmax(h[s:t] @ self.w["in"][k] + self.w["in0"][k])
+                inside[s:t] = e[np.arange(t - s), member[s:t]].astype(np.float64) / total
+        out[order] *= inside
+        return np.log(np.maximum(out, 1e-30)).reshape(len(rows), -1)
 
     def gradient(self, rows: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         w, n = self.w, rows.shape[1]
         x, q, k, v, s, mixed, y, u, h = self.hidden(rows)
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        z = flat(h) @ w["out"] + w["out0"]
-        with np.errstate(over="ignore"):
-            e = np.exp(z)
-            total = e @ np.ones(z.shape[1], np.float32)
-        if not (np.isfinite(total).all() and total.min() > 0):  # so rare that the greatest is sought only then
-            e = np.exp(z - z.max(axis=1, keepdims=True))
-            total = e @ np.ones(z.shape[1], np.float32)
-        z = e
-        z *= (1 / (total * np.float32(len(z))))[:, None]
-        z[np.arange(len(z)), target.ravel()] -= np.float32(1 / len(z))
-        g = {"out": flat(h).T @ z, "out0": np.ones(len(z), np.float32) @ z}
-        dh = (z @ w["out"].T).reshape(h.shape)
+        f = flat(h)
+        group, member = np.divmod(target.ravel(), MEMBERS)
+
+        def error(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+            e, total = self._softmax(z)
+            e *= (1 / (total * np.float32(len(f))))[:, None]
+            e[np.arange(len(e)), at] -= np.float32(1 / len(f))
+            return e
+
+        z = error(f @ w["out"] + w["out0"], group)
+        g = {"out": f.T @ z, "out0": np.ones(len(z), np.float32) @ z, "in": np.zeros_like(w["in"]), "in0": np.zeros_like(w["in0"])}
+        dh = z @ w["out"].T
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        f, member = f[order], member[order]
+        back = np.empty_like(f)
+        for i in range(GROUPS):
+            a, b = int(cut[i]), int(cut[i + 1])
+            if a < b:
+                e, total = self._softmax(f[a:b] @ w["in"][i] + w["in0"][i])
+                e *= (1 / (total * np.float32(len(f))))[:, None]
+                e[np.arange(b - a), member[a:b]] -= np.float32(1 / len(f))
+                g["in"][i], g["in0"][i] = f[a:b].T @ e, e.sum(axis=0)
+                back[a:b] = e @ w["in"][i].T
+        dh[order] += back
+        dh = dh.reshape(h.shape)
         g["down"] = flat(u).T @ flat(dh)
-        du = (dh @ w["down"].T) * (1 - u * u)
+        du = self._times(dh, w["down"].T)
+        du *= u > 0
         g |= {"up": flat(y).T @ flat(du), "up0": flat(du).sum(axis=0)}
-        dy = dh + du @ w["up"].T
+        dy = self._times(du, w["up"].T)
+        dy += dh
         g["o"] = flat(mixed).T @ flat(dy)
-        dm = dy @ w["o"].T
+        dm = self._times(dy, w["o"].T)
         ds = dm @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ dm
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+        ds -= np.einsum("bij,bij->bi", ds, s)[:, :, None]
+        ds *= s
         dq, dk = (ds @ k) * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q  # q holds the scale
-        dx = dy + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+        dx = dy + self._times(dq, w["q"].T) + self._times(dk, w["k"].T) + self._times(dv, w["v"].T)
         g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "place": np.zeros_like(w["place"])}
         g["place"][:n] = dx.sum(axis=0)
-        at = (rows.ravel() * WIDTH)[:, None] + np.arange(WIDTH)
-        g["embed"] = np.bincount(at.ravel(), dx.ravel(), minlength=w["embed"].size).reshape(w["embed"].shape).astype(np.float32)
+        order = np.argsort(rows.ravel().astype(np.int16), kind="stable")  # rows of one id together
+        ids = rows.ravel()[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g["embed"] = np.zeros_like(w["embed"])
+        g["embed"][ids[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
         return g
 
     def train(self, rows: np.ndarray, target: np.ndarray, rate: float, state: dict | None = None) -> Model:

@@ -38,6 +38,14 @@ def test_neighbours_recall(spark, duck):
     assert hit >= 0.9 * 20 * len(asked)
 
 
+def test_language_model_beats_word_counts(spark):
+    """Held out, the mean score is above that of the word counts, which give a single unknown word no spelling."""
+    got = queries.QUERIES["op2_lm_score"](spark, "/root/testdata/sf0.1").toPandas()
+    held = got[got.held_out]
+    print("held out, log10 a word:", held.score.sum() / held.n_tokens.sum(), "word counts:", held.base_score.sum() / held.n_tokens.sum())
+    assert len(got) == 10_000 and held.score.sum() > held.base_score.sum()
+
+
 def test_pipeline(spark, duck):
     """Each stage's result equals a brute-force version of it on what the stage before kept."""
     names = [n for n, _ in corpus_pipeline.STAGES]

@@ -599,9 +599,11 @@ def test_model_gradient_and_windows():
     assert np.allclose(mass[mass > 0], 1)
     model = lm_score.Model.fresh(classes.prior)
     x, y = rng.integers(0, lm_score.INPUTS, (2, lm_score.LENGTH)), rng.integers(0, len(classes.prior), (2, lm_score.LENGTH))
+    whole = [np.exp(model.logs(x, np.full_like(x, k), 0)) for k in range(len(classes.prior))]
+    assert np.allclose(sum(whole), 1, atol=1e-4)
     loss = lambda m: -m.logs(x, y, 0).mean()
     g = model.gradient(x, y)
-    for name in ("q", "k", "v", "o", "up", "down", "out", "place"):
+    for name in ("q", "k", "v", "o", "up", "up0", "down", "out", "out0", "in", "in0", "place", "embed"):
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         up, down = ({n: a.astype(np.float64) for n, a in model.w.items()} for _ in range(2))
         up[name][at] += 1e-4
@@ -628,7 +630,7 @@ def test_training_helps():
     seqs[:, 0] = rng.integers(0, 100, 800)
     for t in range(lm_score.LENGTH):
         seqs[:, t + 1] = order[seqs[:, t]]
-    prior = np.log(np.full(128, 1 / 128))
+    prior = np.log(np.full(1024, 1 / 1024))
     model = lm_score.Model.fresh(prior)
     after = model.train(seqs[:, :-1], seqs[:, 1:], 0.02).train(seqs[:, :-1], seqs[:, 1:], 0.02)
     assert after.logs(seqs[:8, :-1], seqs[:8, 1:], 0).mean() > model.logs(seqs[:8, :-1], seqs[:8, 1:], 0).mean() + 1
