@@ -5,7 +5,9 @@ size: a start by recursive median splits, then rounds in which vertices move to
 that holds most of their neighbours while it has room. A small network learns, from a
 vector alone, the shares that its neighbours' parts have. It indexes every
 row in its most probable part, and routes a query to the most probable parts until
-they hold `mass` of the probability. Within a part, blocks of queries meet blocks of rows;
+they hold `mass` of the probability. Parts have about ROWS_PER_PART rows up to MOST_PARTS of them;
+beyond that (some million rows) parts grow, as a bounded sample can't tell more apart.
+How much a query reads depends on the vectors: nearest() reports it in `shares`. Within a part, blocks of queries meet blocks of rows;
 scores are exact, in double precision, and the best of each block are merged.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import load, small_batches, table
 
 TOP, EVERY, SAMPLE, SAMPLE_BYTES = 20, 20, 20_000, 64 << 20
-ROWS_PER_PART, LEAST_PARTS, MOST_PARTS, BLOCK, MASS, LEAST_PROBES, SEED = 4000, 8, 256, 4096, 0.98, 3, 11
+ROWS_PER_PART, LEAST_PARTS, MOST_PARTS, BLOCK, MASS, LEAST_PROBES, SEED = 1000, 8, 1024, 4096, 0.985, 2, 11
 NEIGHBOURS, HIDDEN, EPOCHS = 20, 128, 40
 
 
@@ -167,12 +169,13 @@ def _search(k: int):
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = TOP, mass: float = MASS, sample: int = SAMPLE) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = TOP, mass: float = MASS, sample: int = SAMPLE, shares: list | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows found nearest to each query, other than itself.
 
     rows and queries: vec_id and x, as valid() gives them. Ties go to the smaller vec_id. Fewer
     rows than k: all of them. No row or no query: an empty result. If the parts a
-    query is routed to hold fewer than k rows, it is routed to every part.
+    query is routed to hold fewer than k rows, it is routed to every part. shares: a list
+    that gets the share of all rows that a query meets on average.
     """
     spark = rows.sparkSession
     small_batches(spark, 2000)
@@ -181,7 +184,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = TOP, mass: float = MAS
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = max(1, min(sample, SAMPLE_BYTES // (8 * len(first.x))))
-    picked = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1_000_000)) < min(1_000_000, int(1_300_000 * sample / n) + 1)).select("x").limit(sample).collect()
+    # the rows of the least hashes, wherever they lie; the filter only keeps the others out of the sort
+    hashed = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 40))
+    picked = rows.select(hashed.alias("hash"), "x").filter(F.col("hash") <= int(min(1.0, 1.3 * sample / n + 100 / n) * (1 << 40))).orderBy("hash").limit(sample).collect()
     x = np.unique(np.array([r.x for r in picked] or [first.x], float), axis=0)
     parts = int(max(1, min(max(LEAST_PARTS, -(-n // ROWS_PER_PART)), MOST_PARTS, len(x) // 20)))
     router = train(x, parts)
@@ -204,6 +209,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = TOP, mass: float = MAS
 
     routed = table(queries.select(F.col("vec_id").alias("id"), "x", F.explode(route("x")).alias("part")), "ann-routes")
     asked = {r[0]: r[1] for r in routed.groupBy("part").count().collect()}
+    if shares is not None:
+        shares.append(sum(m * counts.get(p, 0) for p, m in asked.items()) / (n * max(1, queries.count())))
     blocks = [(p, -(-counts.get(p, 0) // BLOCK), -(-asked.get(p, 0) // BLOCK)) for p in range(parts)]
     sizes = F.broadcast(spark.createDataFrame([b for b in blocks if b[1] and b[2]] or [(-1, 1, 1)], "part_ int, row_blocks int, query_blocks int"))  # at most MOST_PARTS rows
     salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")

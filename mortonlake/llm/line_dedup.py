@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import load, small_batches, table
 
-MIN_WORDS = 10
+MIN_WORDS = 3
 
 
 def _lines(min_words: int):
@@ -93,7 +93,8 @@ def later_runs(lines: DataFrame, order: DataFrame) -> DataFrame:
     second = stack.select("uid", F.col("j").alias("t"), "size", F.col("rank").alias("b"))
     named = runs.distinct().join(first, ["uid", "s", "size"]).withColumn("t", F.expr("s + len - size")).join(second, ["uid", "t", "size"])
     named = table(named.join(order, "uid").select("uid", "s", "len", "a", "b", F.struct("place", "s").alias("at")), "line-runs")
-    intervals = named.groupBy("len", "a", "b").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1").drop("n")
+    # written, so that the join shuffles either side for itself and Spark can split a run that very many documents share
+    intervals = table(named.groupBy("len", "a", "b").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1").drop("n"), "line-intervals")
     return named.join(intervals, ["len", "a", "b"]).filter("at != first").select("uid", "s", "len")
 
 

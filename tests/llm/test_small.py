@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,24 @@ def test_nearest(spark, k):
     assert hit >= 0.9 * 30 * k
 
 
+def test_nearest_of_many(spark):
+    """50,000 vectors in clusters, indexed from a sample of 5,000 of them: high recall from a small share of the rows."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 24))[rng.integers(0, 150, 50_000)] + 0.3 * rng.normal(size=(50_000, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
+    x = x[np.argsort(x[:, 0])]  # the table's order says something about the vectors
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 24).cast(pa.list_(pa.float32()))
+    rows_ = ann.valid(spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": flat})).withColumn("x", F.lit("own")))
+    shares = []
+    found = ann.nearest(rows_, rows_.filter("vec_id % 500 = 0"), sample=5000, shares=shares).toPandas()
+    s = x[::500].astype(float) @ x.T.astype(float)
+    s[np.arange(100), np.arange(0, 50_000, 500)] = -9
+    near = np.argpartition(-s, 19, axis=1)[:, :20]
+    hit = sum(len(set(near[k]) & set(found[found.query_id == 500 * k].vec_id)) for k in range(100))
+    print("recall", hit / 2000, "share of rows", shares[0])
+    assert hit >= 0.95 * 2000 and shares[0] < 0.2
+
+
 def test_nearest_few(spark):
     e = "vec_id long, embedding array<float>"
     rows_ = ann.valid(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 1.0])], e))
