@@ -78,10 +78,10 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None
     such documents alone is used once. Repeated rows count each. An empty table
     gives an empty result. Columns named epoch or block_order are replaced.
     """
-    made = ("epoch", "block_order", "__n", "__block", "__times")
-    names = [c for c in docs.columns if c not in made]
+    names = [c for c in docs.columns if c not in ("epoch", "block_order")]
+    inner = [f"c{i}" for i in range(len(names))]  # no name of the caller's meets one of these steps
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text_of())
-    base = docs.select(*names, (word_count() if n_tokens is None else F.coalesce(n_tokens, F.lit(0)).cast("long")).alias("__n"), F.pmod(key, F.lit(blocks)).cast("int").alias("__block"))
+    base = docs.select(*[F.col(n).alias(c) for n, c in zip(names, inner, strict=True)], "source", (word_count() if n_tokens is None else F.coalesce(n_tokens, F.lit(0)).cast("long")).alias("__n"), F.pmod(key, F.lit(blocks)).cast("int").alias("__block"))
     sized = table(base.groupBy("source", "__block").agg(F.sum("__n").alias("n_tokens")), "mixing-blocks")
     w = weights(sized, entropy, max_repeats, budget).select(F.col("source").alias("source_"), "tokens", "repeats")
     each = sized.join(w, F.col("source").eqNullSafe(F.col("source_")), "left").withColumns({"repeats": F.coalesce("repeats", F.lit(1.0)), "tokens": F.coalesce("tokens", F.lit(0))})
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None
     used = base.join(each, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__of")))
     used = used.filter("__times > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, __times - 1)")))
     order = F.xxhash64(F.lit(seed), F.col("epoch"), F.coalesce("source", F.lit("")), F.col("__block"))
-    return used.select(*names, "epoch", order.alias("block_order"))
+    return used.select(*inner, "epoch", order.alias("block_order")).toDF(*names, "epoch", "block_order")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

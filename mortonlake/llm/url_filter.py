@@ -189,7 +189,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     made = ("host", "path", "rule", "verdict")
     rules = rules.select(F.concat("host", "path").alias("key"), F.char_length("path").alias("n"), "verdict").distinct()
     lengths = sorted(r[0] for r in rules.select("n").distinct().collect())  # path lengths that rules have: some hundreds at most
-    urls = pages.drop(*made).withColumns({"host": host_of(), "path": path_of()})
+    names = [c for c in pages.columns if c not in made]
+    inner = pages.select(*names).toDF(*[c if c == "url" else f"c{i}" for i, c in enumerate(names)])  # no name of the caller's meets one of these steps
+    urls = inner.withColumns({"host": host_of(), "path": path_of()})
     keyed = urls.withColumn("__keys", keys_of(F.col("host"), F.col("path"), lengths))
     universe = urls.select("host", "path").distinct().select(F.explode(keys_of(F.col("host"), F.col("path"), lengths)).alias("key")).distinct()
     universe = table(universe.select(*[h.alias(f"h{i}") for i, h in enumerate(hashes(F.col("key")), 1)]), "bloom-universe")
@@ -202,7 +204,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         out = cascade.test(out, f"__{verdict}", True, ("__h1", "__h2")) if cascade.levels else out.withColumn(f"__{verdict}", F.transform("__keys", lambda k: F.lit(0).cast("long")))
     hit = F.filter(F.transform("__keys", lambda k, i: F.when(F.get("__block", i) % 2 == 1, F.struct(k.alias("rule"), F.lit("block").alias("verdict"))).when(F.get("__allow", i) % 2 == 1, F.struct(k.alias("rule"), F.lit("allow").alias("verdict")))), lambda x: x.isNotNull())
     out = out.withColumn("__hit", F.get(hit, F.lit(0)))
-    return out.select(*urls.columns, F.col("__hit.rule").alias("rule"), F.coalesce("__hit.verdict", F.lit(default)).alias("verdict"))
+    return out.select(*urls.columns, F.col("__hit.rule").alias("rule"), F.coalesce("__hit.verdict", F.lit(default)).alias("verdict")).toDF(*names, *made)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -442,7 +442,7 @@ URLS = ["http://www.Example.com/en/1?x", "https://a.example.com/en/", "https://e
 
 def test_url_filter(spark):
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
-    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(URLS * 2)], "page_id long, url string, rule string").withColumns({"h1": F.lit(1), "keys": F.lit(2)})
+    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(URLS * 2)], "page_id long, url string, rule string").withColumns({"h1": F.lit(1), "keys": F.lit(2), "__keys": F.lit(3), "__hit": F.lit(4), "__h1": F.lit(5)})
 
     def brute(u):
         if not u or "://" not in u:
@@ -457,7 +457,7 @@ def test_url_filter(spark):
 
     for r in url_filter.url_filter(pages, rules).collect():
         assert (r.host, r.path, r.rule, r.verdict) == brute(r.url), r.url
-        assert (r.h1, r["keys"]) == (1, 2)
+        assert (r.h1, r["keys"], r["__keys"], r["__hit"], r["__h1"]) == (1, 2, 3, 4, 5)
     assert url_filter.url_filter(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.url_filter(pages, rules.limit(0)).collect()} == {"allow"}
 
@@ -576,6 +576,9 @@ def test_running(spark, keys):
 
 def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0
+    clash = mixing.mix(docs.withColumns({"__n": F.lit(7), "__block": F.lit(8), "__times": F.lit(9)}))
+    assert clash.columns == [*docs.columns, "__n", "__block", "__times", "epoch", "block_order"]
+    assert {(r["__n"], r["__block"], r["__times"]) for r in clash.collect()} == {(7, 8, 9)}
     assert {r.doc_id for r in mixing.mix(docs).select("doc_id").collect()} == {r[0] for r in rows()}
     data = [(k, "w " * 10, s) for k, s in enumerate(["big"] * 4000 + ["mid"] * 500 + ["small"] * 40)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
@@ -593,6 +596,44 @@ def test_mixing(spark, docs, none):
     assert abs(capped - 2270) < 100
 
 
+def test_mixing_equals_a_plain_permutation(spark):
+    """Rows, epochs and block orders of the mix against blocks, orders and budgets worked out one by one."""
+    rng = np.random.default_rng(12)
+    data = [(k, "w " * int(rng.integers(0, 30)), s) for k, s in enumerate(["a"] * 300 + ["b"] * 60 + [None] * 25 + ["empty"] * 2)]
+    data[-2:] = [(d, "", s) for d, _, s in data[-2:]]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    hashed = df.select("doc_id", F.pmod(F.xxhash64(F.lit(mixing.SEED), F.col("doc_id").cast("string"), "text"), F.lit(16)).alias("block")).collect()
+    block = {r.doc_id: r.block for r in hashed}
+    orders = {}
+    tables = spark.createDataFrame([(e, s, b) for e in range(4) for s in ("a", "b", "", "empty") for b in range(16)], "e long, s string, b int")
+    for r in tables.select("e", "s", "b", F.xxhash64(F.lit(mixing.SEED), "e", "s", "b").alias("o")).collect():
+        orders[r.e, r.s, r.b] = r.o
+    tokens, sizes = Counter(), Counter()
+    for d, t, s in data:
+        tokens[s] += len(t.split())
+        sizes[s, block[d]] += len(t.split())
+    whole, most = sum(tokens.values()), max(tokens.values())
+    live = {s: n for s, n in tokens.items() if n}
+    a = 1 - np.log(2.0) / np.log(most / min(live.values()))
+    want = Counter()
+    got = mixing.mix(df, blocks=16).collect()
+    for s, n in tokens.items():
+        repeats = (most / n) ** (1 - a) if n else 1.0
+        full = int(repeats + 1e-6)
+        upto, partial = 0, set()
+        for b in sorted({block[d] for d, _, x in data if x == s}, key=lambda b: orders[full, s or "", b]):
+            upto += sizes[s, b]
+            if upto <= round((repeats - full) * n) and full < repeats:
+                partial.add(b)
+        for d, _, x in data:
+            if x == s:
+                for e in range(full + (block[d] in partial)):
+                    want[d, e, orders[e, s or "", block[d]]] += 1
+    have = Counter((r.doc_id, r.epoch, r.block_order) for r in got)
+    off = sum(((have - want) + (want - have)).values())
+    assert off <= 0.02 * len(got) and {d for d, _, _ in have} == set(block)  # the bisected exponent may move a block at the edge
+
+
 def test_lm_scores(spark, docs, none):
     assert lm_score.lm_scores(none).count() == 0
     got = lm_score.lm_scores(docs).collect()
