@@ -18,6 +18,8 @@ from ..plans.ranges import Box, box, grid_ranges, merge_ranges, rings, z_bounds
 from .index import PointIndex
 
 RESULT = ("id", "z_ord", "lat", "lng", "distance_km")
+#: Up to this k a nearest search holds its k rows on the driver.
+DRIVER_ROWS = 10_000
 
 
 def inside(b: Box, lat: str | Column = "lat_q", lng: str | Column = "lng_q") -> Column:
@@ -141,12 +143,24 @@ def knn_search(index: PointIndex, lat: float, lng: float, k: int, max_radius_km:
     counts = {r[0]: r[1] for r in upto(len(radii) - 1).groupBy("ring").count().collect()}  # at most four rows
     held = [sum(counts.get(i, 0) for i in range(ring + 1)) for ring in range(len(radii))]
     chosen = next((ring for ring, n in enumerate(held) if n >= k), len(radii) - 1)
-    while dedup == "exact" and chosen < len(radii) - 1 and upto(chosen).dropDuplicates(["id", "z_ord"]).limit(k).count() < k:
+
+    def best(ring: int) -> DataFrame:
+        rows = upto(ring)
+        rows = rows.dropDuplicates(["id", "z_ord"]) if dedup == "exact" else rows
+        return rows.orderBy("distance_km", "id").limit(k).select("id", "z_ord", F.col("lat_q").alias("lat"), F.col("lng_q").alias("lng"), "distance_km")
+
+    if dedup != "exact" or chosen == len(radii) - 1:
+        return best(chosen)
+    if k > DRIVER_ROWS:
+        while chosen < len(radii) - 1 and best(chosen).count() < k:
+            chosen += 1
+        return best(chosen)
+    found = best(chosen)
+    rows = found.collect()  # at most DRIVER_ROWS
+    while len(rows) < k and chosen < len(radii) - 1:
         chosen += 1
-    found = upto(chosen)
-    if dedup == "exact":
-        found = found.dropDuplicates(["id", "z_ord"])
-    return found.orderBy("distance_km", "id").limit(k).select("id", "z_ord", F.col("lat_q").alias("lat"), F.col("lng_q").alias("lng"), "distance_km")
+        rows = best(chosen).collect()
+    return index.spark.createDataFrame(rows, found.schema)
 
 
 def lower_bound(index: PointIndex, z_ord: int) -> DataFrame:
