@@ -8,7 +8,8 @@ row in its most probable part, and routes a query to the most probable parts unt
 they hold `mass` of the probability. Parts have about ROWS_PER_PART rows up to MOST_PARTS of them;
 beyond that (some million rows) parts grow, as a bounded sample can't tell more apart.
 How much a query reads depends on the vectors: nearest() reports it in `shares`. Within a part, blocks of queries meet blocks of rows;
-scores are exact, in double precision, and the best of each block are merged.
+scores are exact, in double precision, and the best of each block are merged. A query's most
+probable part is searched first: the other parts give only rows that reach the k-th best score found there.
 """
 
 from __future__ import annotations
@@ -142,6 +143,7 @@ def _search(k: int):
             q = np.array(queries.column("x").to_pylist(), float)
             x = np.array(rows.column("x").to_pylist(), float)
             qid, rid = (t.column("id").to_numpy() for t in (queries, rows))
+            least = queries.column("floor").to_numpy()
             order = np.argsort(rid, kind="stable")
             rid, x = rid[order], x[order]
             _, which = np.unique(x, axis=0, return_inverse=True)  # equal vectors score alike: their k + 1 least ids are enough
@@ -151,14 +153,14 @@ def _search(k: int):
             x, rid = x[keep], rid[keep]
             for at in range(0, len(q), 256):
                 s = q[at : at + 256] @ x.T
+                floor = least[at : at + 256].copy()
                 if s.shape[1] > k + 1:
-                    floor = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)]
-                else:
-                    floor = np.full(len(s), -np.inf)
+                    np.fmax(floor, np.partition(s, -(k + 1), axis=1)[:, -(k + 1)], out=floor)
                 for i in range(len(s)):
                     c = np.flatnonzero(s[i] >= floor[i] - 1e-9 * (1 + abs(floor[i]))) if np.isfinite(floor[i]) else np.arange(len(x))
                     c = c[rid[c] != qid[at + i]]
                     exact = (x[c] * q[at + i]).sum(axis=1)  # the same sum for equal vectors, wherever they lie
+                    c, exact = c[exact >= least[at + i]], exact[exact >= least[at + i]]
                     best = np.lexsort((rid[c], -exact))[:k]
                     out[0].append(np.full(len(best), qid[at + i]))
                     out[1].append(rid[c][best])
@@ -207,20 +209,31 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = TOP, mass: float = MAS
             out.append(order[:m].astype("int32") if sum(counts.get(int(c), 0) for c in order[:m]) > k else np.arange(parts, dtype="int32"))
         return pd.Series(out, dtype=object)
 
-    routed = table(queries.select(F.col("vec_id").alias("id"), "x", F.explode(route("x")).alias("part")), "ann-routes")
-    asked = {r[0]: r[1] for r in routed.groupBy("part").count().collect()}
-    if shares is not None:
-        shares.append(sum(m * counts.get(p, 0) for p, m in asked.items()) / (n * max(1, queries.count())))
-    blocks = [(p, -(-counts.get(p, 0) // BLOCK), -(-asked.get(p, 0) // BLOCK)) for p in range(parts)]
-    sizes = F.broadcast(spark.createDataFrame([b for b in blocks if b[1] and b[2]] or [(-1, 1, 1)], "part_ int, row_blocks int, query_blocks int"))  # at most MOST_PARTS rows
-    salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # a block of queries meets each block of rows of its part, so a hot part is many groups
-    at = F.col("part") == F.col("part_")
-    left = routed.join(sizes, at).select("part", salt("query_blocks").alias("qb"), every("row_blocks").alias("rb"), "id", "x")
-    right = indexed.join(sizes, at).select("part", every("query_blocks").alias("qb"), salt("row_blocks").alias("rb"), "id", "x")
-    found = left.groupBy("part", "qb", "rb").cogroup(right.groupBy("part", "qb", "rb")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
+    routed = table(queries.select(F.col("vec_id").alias("id"), "x", F.posexplode(route("x")).alias("turn", "part")), "ann-routes")
+    met: dict[int, int] = {}
+
+    def search(asking: DataFrame) -> DataFrame:
+        """The k rows nearest to each query in each block of rows of its part, of those that reach the query's floor."""
+        asked = {r[0]: r[1] for r in asking.groupBy("part").count().collect()}  # at most MOST_PARTS
+        met.update({p: met.get(p, 0) + m for p, m in asked.items()})
+        blocks = [(p, -(-counts.get(p, 0) // BLOCK), -(-asked.get(p, 0) // BLOCK)) for p in range(parts)]
+        sizes = F.broadcast(spark.createDataFrame([b for b in blocks if b[1] and b[2]] or [(-1, 1, 1)], "part_ int, row_blocks int, query_blocks int"))  # at most MOST_PARTS rows
+        salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        # a block of queries meets each block of rows of its part, so a hot part is many groups
+        at = F.col("part") == F.col("part_")
+        left = asking.join(sizes, at).select("part", salt("query_blocks").alias("qb"), every("row_blocks").alias("rb"), "id", "x", "floor")
+        right = indexed.join(sizes, at).select("part", every("query_blocks").alias("qb"), salt("row_blocks").alias("rb"), "id", "x")
+        return left.groupBy("part", "qb", "rb").cogroup(right.groupBy("part", "qb", "rb")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
+
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    none = F.lit(float("-inf"))
+    first = table(search(routed.filter("turn = 0").withColumn("floor", none)), "ann-first")
+    floors = first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    rest = routed.filter("turn > 0").join(floors, "id", "left").withColumn("floor", F.coalesce("kth", none))
+    found = first.unionByName(search(rest))
+    if shares is not None:
+        shares.append(sum(m * counts.get(p, 0) for p, m in met.items()) / (n * max(1, queries.count())))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
