@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 from .common import fold, gathered, load, small_batches, table
 
 MODEL, BOS, EOS = "piece_bpe_32k.model", 1, 2
-LENGTH, OVERLAP, BATCH, WIDTH, HIDDEN = 64, 8, 32, 16, 48
+LENGTH, OVERLAP, BATCH, WIDTH, HIDDEN = 64, 8, 128, 16, 48
 GROUPS, MEMBERS, BINS, INPUTS = 32, 32, 16, 2048
 SINGLES = GROUPS * MEMBERS - BINS
 ROUNDS, RATE, TRAIN_BATCH = 4, 0.04, 64
+AT_ONCE, SPAN, TINY = 32, 32, 1e-20
 COMMON, REMEMBERED = 200_000, 700_000
 
 _pieces: dict = {}
@@ -153,23 +154,34 @@ class Model:
             at += size
         return Model(w)
 
-    def hidden(self, rows: np.ndarray) -> tuple:
-        """rows: windows of input rows. What the backward pass needs; last, the output of the layers."""
+    def hidden(self, rows: np.ndarray, safe: bool = False) -> tuple:
+        """rows: windows of input rows. What the backward pass needs; last, the output of the layers.
+
+        Places attend in spans, each to no place after the span's last: a quarter of the square is never computed.
+        The column of ones beside the values sums the weights, so these are never divided.
+        safe: take the greatest from each row first, needed where exp leaves the range of float32.
+        """
         w, n = self.w, rows.shape[1]
         x = w["embed"][rows]
         x += w["place"][:n]
-        q, k, v = (self._times(x, m) for m in (w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"]))
-        s = q @ k.transpose(0, 2, 1)
+        q, k = self._times(x, w["q"] * np.float32(WIDTH**-0.5)), self._times(x, w["k"])
+        v = self._with_ones(self._times(x, w["v"]))
+        both, weights = np.empty_like(v), []
         with np.errstate(over="ignore", invalid="ignore"):
-            e = np.exp(s)
-            e *= self.mask[:n, :n]
-            total = e @ np.ones(n, np.float32)
-        if not np.isfinite(total).all():  # so rare that the greatest is sought only then
-            e = np.exp(s - np.where(self.mask[:n, :n] > 0, s, -np.inf).max(axis=2, keepdims=True)) * self.mask[:n, :n]
-            total = e @ np.ones(n, np.float32)
-        s = e
-        s /= total[:, :, None]
-        mixed = s @ v
+            for a, b in self._spans(n):
+                e = q[:, a:b] @ k[:, :b].transpose(0, 2, 1)
+                if safe:
+                    e[:, :, a:b][:, self.mask[a:b, a:b] == 0] = -np.inf
+                    e -= e.max(axis=2, keepdims=True)
+                np.exp(e, out=e)
+                e[:, :, a:b] *= self.mask[a:b, a:b]
+                np.matmul(e, v[:, :b], out=both[:, a:b])
+                weights.append(e)
+            total = both[:, :, WIDTH:]
+            fine = safe or self._in_range(total)
+        if not fine:
+            return self.hidden(rows, True)
+        mixed = both[:, :, :WIDTH] / total
         y = self._times(mixed, w["o"])
         y += x
         u = self._times(y, w["up"])
@@ -177,7 +189,22 @@ class Model:
         np.maximum(u, 0, out=u)
         h = self._times(u, w["down"])
         h += y
-        return x, q, k, v, s, mixed, y, u, h
+        return x, q, k, v, weights, total, mixed, y, u, h
+
+    @staticmethod
+    def _spans(n: int) -> list[tuple[int, int]]:
+        return [(a, min(a + SPAN, n)) for a in range(0, n, SPAN)]
+
+    @staticmethod
+    def _in_range(total: np.ndarray) -> bool:
+        return bool(total.min() > TINY and total.max() < 1 / TINY) if total.size else True
+
+    @staticmethod
+    def _with_ones(x: np.ndarray) -> np.ndarray:
+        out = np.empty((*x.shape[:-1], x.shape[-1] + 1), x.dtype)
+        out[..., :-1] = x
+        out[..., -1] = 1
+        return out
 
     @staticmethod
     def _times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -185,75 +212,93 @@ class Model:
         return (x.reshape(-1, x.shape[-1]) @ m).reshape(*x.shape[:-1], m.shape[1])
 
     def _softmax(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """exp of each row, with the rows' sums; z is overwritten. What they lack of the true ones cancels."""
+        """exp of each row, with the rows' sums. What they lack of the true ones cancels."""
         with np.errstate(over="ignore"):
-            e = np.exp(z, out=z.copy())
+            e = np.exp(z)
             total = e @ np.ones(z.shape[1], np.float32)
-        if not (np.isfinite(total).all() and total.min() > 0):  # so rare that the greatest is sought only then
+        if not self._in_range(total):  # so rare that the greatest is sought only then
             e = np.exp(z - z.max(axis=1, keepdims=True))
             total = e @ np.ones(z.shape[1], np.float32)
         return e, total
 
+    def _heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of the groups and of the members, each with its bias as the last row."""
+        return np.concatenate([self.w["out"], self.w["out0"][None]]), np.concatenate([self.w["in"], self.w["in0"][:, None]], axis=1)
+
+    @staticmethod
+    def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order that brings the places of a group together, and each group there is with its range in it."""
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+        return order, [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b]
+
     def logs(self, rows: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
         """Natural logs of the classes' probabilities at each place of each window after the first `skip`."""
-        h = self.hidden(rows)[-1][:, skip:].reshape(-1, WIDTH)
+        f = np.empty((len(rows), rows.shape[1] - skip, WIDTH + 1), self.w["out"].dtype)
+        f[..., WIDTH] = 1
+        for at in range(0, len(rows), AT_ONCE):
+            f[at : at + AT_ONCE, :, :WIDTH] = self.hidden(rows[at : at + AT_ONCE])[-1][:, skip:]
+        f = f.reshape(-1, WIDTH + 1)
         group, member = np.divmod(target[:, skip:].ravel(), MEMBERS)
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        e, total = self._softmax(h @ self.w["out"] + self.w["out0"])
-        out = e[np.arange(len(h)), group].astype(np.float64) / total
-        h, member, inside = h[order], member[order], np.empty(len(h))
-        for k in range(GROUPS):
-            s, t = int(cut[k]), int(cut[k + 1])
-            if s < t:
-                e, total = self._softmax(h[s:t] @ self.w["in"][k] + self.w["in0"][k])
-                inside[s:t] = e[np.arange(t - s), member[s:t]].astype(np.float64) / total
-        out[order] *= inside
-        return np.log(np.maximum(out, 1e-30)).reshape(len(rows), -1)
+        out, inside = self._heads()
+        every = np.arange(len(f))
+        e, total = self._softmax(f @ out)
+        found = e[every, group].astype(np.float64) / total
+        order, ranges = self._by_group(group)
+        f, z = f[order], np.empty((len(f), MEMBERS), f.dtype)
+        for i, a, b in ranges:
+            np.matmul(f[a:b], inside[i], out=z[a:b])
+        e, total = self._softmax(z)
+        found[order] *= e[every, member[order]].astype(np.float64) / total
+        return np.log(np.maximum(found, 1e-30)).reshape(len(rows), -1)
 
     def gradient(self, rows: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         w, n = self.w, rows.shape[1]
-        x, q, k, v, s, mixed, y, u, h = self.hidden(rows)
+        x, q, k, v, weights, total, mixed, y, u, h = self.hidden(rows)
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        f = flat(h)
+        f = flat(self._with_ones(h))
         group, member = np.divmod(target.ravel(), MEMBERS)
+        out, inside = self._heads()
+        every = np.arange(len(f))
 
         def error(z: np.ndarray, at: np.ndarray) -> np.ndarray:
             e, total = self._softmax(z)
             e *= (1 / (total * np.float32(len(f))))[:, None]
-            e[np.arange(len(e)), at] -= np.float32(1 / len(f))
+            e[every, at] -= np.float32(1 / len(f))
             return e
 
-        z = error(f @ w["out"] + w["out0"], group)
-        g = {"out": f.T @ z, "out0": np.ones(len(z), np.float32) @ z, "in": np.zeros_like(w["in"]), "in0": np.zeros_like(w["in0"])}
+        z = error(f @ out, group)
+        g_out, g_in = f.T @ z, np.zeros_like(inside)
         dh = z @ w["out"].T
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        f, member = f[order], member[order]
-        back = np.empty_like(f)
-        for i in range(GROUPS):
-            a, b = int(cut[i]), int(cut[i + 1])
-            if a < b:
-                e, total = self._softmax(f[a:b] @ w["in"][i] + w["in0"][i])
-                e *= (1 / (total * np.float32(len(f))))[:, None]
-                e[np.arange(b - a), member[a:b]] -= np.float32(1 / len(f))
-                g["in"][i], g["in0"][i] = f[a:b].T @ e, e.sum(axis=0)
-                back[a:b] = e @ w["in"][i].T
+        order, ranges = self._by_group(group)
+        f, z, back = f[order], np.empty((len(f), MEMBERS), f.dtype), np.empty_like(dh)
+        for i, a, b in ranges:
+            np.matmul(f[a:b], inside[i], out=z[a:b])
+        z = error(z, member[order])
+        for i, a, b in ranges:
+            np.matmul(f[a:b].T, z[a:b], out=g_in[i])
+            np.matmul(z[a:b], w["in"][i].T, out=back[a:b])
+        g = {"out": g_out[:-1], "out0": g_out[-1], "in": g_in[:, :-1], "in0": g_in[:, -1]}
         dh[order] += back
         dh = dh.reshape(h.shape)
         g["down"] = flat(u).T @ flat(dh)
         du = self._times(dh, w["down"].T)
         du *= u > 0
-        g |= {"up": flat(y).T @ flat(du), "up0": flat(du).sum(axis=0)}
+        g |= {"up": flat(y).T @ flat(du), "up0": np.ones(len(f), np.float32) @ flat(du)}
         dy = self._times(du, w["up"].T)
         dy += dh
         g["o"] = flat(mixed).T @ flat(dy)
-        dm = self._times(dy, w["o"].T)
-        ds = dm @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dm
-        ds -= np.einsum("bij,bij->bi", ds, s)[:, :, None]
-        ds *= s
-        dq, dk = (ds @ k) * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q  # q holds the scale
+        dm = self._with_ones(self._times(dy, w["o"].T))
+        dm[..., WIDTH] = -np.einsum("bij,bij->bi", dm[..., :WIDTH], mixed)  # beside the ones of v: what the softmax takes off
+        dm /= total
+        dq, dk, dv = np.empty_like(q), np.zeros_like(k), np.zeros_like(k)
+        for (a, b), e in zip(self._spans(n), weights, strict=True):
+            dv[:, :b] += e.transpose(0, 2, 1) @ dm[:, a:b, :WIDTH]
+            ds = dm[:, a:b] @ v[:, :b].transpose(0, 2, 1)
+            ds *= e
+            np.matmul(ds, k[:, :b], out=dq[:, a:b])
+            dk[:, :b] += ds.transpose(0, 2, 1) @ q[:, a:b]  # q holds the scale
+        dq *= np.float32(WIDTH**-0.5)
         dx = dy + self._times(dq, w["q"].T) + self._times(dk, w["k"].T) + self._times(dv, w["v"].T)
         g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "place": np.zeros_like(w["place"])}
         g["place"][:n] = dx.sum(axis=0)
