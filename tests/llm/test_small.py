@@ -411,6 +411,70 @@ def test_passages_equal_all_pairs(spark):
     assert want > 100 and found >= 0.99 * want, (want, found)
 
 
+def test_passages_of_recombined_common_text(spark):
+    """Inexact copies of pieces that are each in many documents: no seed stands in few places, the longer runs differ or are common, and first and last holders have other parts."""
+    texts, rng = {}, np.random.default_rng(11)
+    for g in range(6):
+        words_ = sentence(50_000 + g, 60).split()
+        for side in (0, 2000):
+            for k in range(8):
+                for m in range(6):
+                    at = side + 200 * g + 6 * k + m
+                    texts[at] = sentence(51_000 + at, 40) + " " + " ".join(words_[7 * k : 7 * k + 11]) + " " + sentence(55_000 + at, 40)
+        for d in (0, 1):
+            own = list(words_)
+            for i in range(6 + d, 60, 13):
+                own[i] = f"new{g}x{d}x{i}x{rng.integers(1000)}"
+            texts[1500 + 2 * g + d] = sentence(60_000 + 2 * g + d, 30) + " " + " ".join(own) + " " + sentence(61_000 + 2 * g + d, 30)
+    got = passages_of(spark, dict(sorted(texts.items())))
+    found = sum(hit(got, 1500 + 2 * g, 30, 1501 + 2 * g, 30, 60) for g in range(6))
+    print("found", found)
+    assert found == 6
+
+
+def test_passages_of_frequent_seeds_equal_all_pairs():
+    """Places of frequent seeds, compared kind by kind, list every document of a passage that an alignment of every two finds."""
+    rng = np.random.default_rng(12)
+    lines = [rng.integers(1000, 1 << 30, 13) for _ in range(5)]
+    docs = []
+    for _ in range(60):
+        parts = []
+        for k in sorted(rng.choice(5, rng.integers(2, 6), replace=False)):
+            line = lines[k].copy()
+            line[rng.random(13) < 0.06] = rng.integers(1 << 30, 1 << 31)
+            parts.append(line)
+        parts.insert(int(rng.integers(len(parts) + 1)), rng.integers(1000, 1 << 30, 40))
+        docs.append(np.concatenate(parts).astype(np.uint32))
+    docs += [docs[3].copy(), np.concatenate([docs[4], docs[4]])]
+    seeds = [substring_dedup.windows(d.astype(np.uint64), 5) for d in docs]
+    held = Counter(h for x in seeds for h in x.tolist())
+    rows_ = []
+    for uid, (d, x) in enumerate(zip(docs, seeds, strict=True)):
+        at = np.array([i for i, h in enumerate(x.tolist()) if held[h] > 1], np.uint32)
+        often = substring_dedup.frequent_places(at * 2 + 1) if len(at) else at
+        if len(often):
+            rows_.append((uid, 0, d.tobytes(), often.astype(np.int32).tobytes(), np.packbits(np.zeros(len(d), bool)).tobytes()))
+    lists = [np.zeros(len(d), bool) for d in docs]
+    for k in range(3):
+        for b, a, bs, be, as_, ae, equal in substring_dedup.Rest(rows_, k, 3, 50, 0.8).solve():
+            assert b > a and min(be - bs, ae - as_) >= 50 and equal >= 0.8 * max(be - bs, ae - as_)
+            lists[b][bs:be] = lists[a][as_:ae] = True
+    want = found = 0
+    for b in range(len(docs)):
+        for a in range(b):
+            x, y = np.nonzero(seeds[b][:, None] == seeds[a][None, :])
+            zero = np.zeros(len(x), np.int64)
+            for own in substring_dedup.chained([zero, zero, x, y]):
+                blocks = np.frombuffer(own[3], np.int32).reshape(-1, 3).astype(np.int64)
+                bs, be, as_, ae, equal = substring_dedup.widened(substring_dedup.align(blocks, docs[b], docs[a], 0, 0), docs[b], docs[a], 0, 0, 50)
+                if min(be - bs, ae - as_) >= 50 and equal >= 0.8 * max(be - bs, ae - as_):
+                    for d, s, e in ((b, bs, be), (a, as_, ae)):
+                        want += 1
+                        found += lists[d][s:e].mean() >= 0.6
+    print("passages", want, "found", found)
+    assert want > 50 and found == want
+
+
 def test_chains_equal_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
