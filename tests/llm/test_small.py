@@ -1,5 +1,6 @@
 """Each operator on small tables: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -475,6 +476,36 @@ def test_passages_of_frequent_seeds_equal_all_pairs():
     assert want > 50 and found == want
 
 
+def test_frequent_seeds_take_little_memory():
+    """Stretches of a bucket: few bytes a word, and only what lies around the bucket's own seeds."""
+    rng = np.random.default_rng(13)
+    lines = [rng.integers(1000, 1 << 30, 12) for _ in range(40)]
+    docs = [np.concatenate([np.r_[rng.integers(1 << 30, 1 << 31, 60), lines[i]] for i in rng.choice(40, 30)]) for _ in range(250)]
+    texts = [" ".join(map(str, d.tolist())) for d in docs]
+    places = [np.flatnonzero(d < 1 << 30).reshape(-1, 12)[:, :8].ravel() for d in docs]
+    column = lambda x, kind: pa.array(x, kind)
+    batch = pa.RecordBatch.from_arrays([column(range(250), pa.int64()), column(texts, pa.string()), column([(x * 2 + 1).astype(np.uint32).tobytes() for x in places], pa.binary()), column([None] * 250, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], ["uid", "text", "places", "spans"])
+    rows_, around = defaultdict(list), substring_dedup.reach(50)
+    for b in substring_dedup._stretches(16, around)(iter([batch])):
+        for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "uid", "start", "words", "often", "covered")), strict=True):
+            rows_[bucket].append(tuple(row))
+    held = 0
+    for bucket, rows in rows_.items():
+        for _, _, w, at, _ in rows:
+            w, at = np.frombuffer(w, np.uint32), np.frombuffer(at, np.int32)
+            own = at[substring_dedup.windows(w.astype(np.uint64), 5)[at] % np.uint64(16) == bucket]
+            assert own[0] <= around and len(w) - own[-1] - 5 <= around and (np.diff(own) <= 2 * around).all()
+            held += len(own)
+    assert held == sum(map(len, places))
+    for bucket, rows in rows_.items():
+        tracemalloc.start()
+        rest = substring_dedup.Rest(rows, bucket, 16, 50, 0.8)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # hashes of HASHED_AT_ONCE words at once take the same room however large the bucket is
+        assert peak < 16 * len(rest.words) + 200 * len(rest.at) + 40 * min(len(rest.words), substring_dedup.HASHED_AT_ONCE), (peak, len(rest.words), len(rest.at))
+
+
 def test_chains_equal_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
