@@ -409,8 +409,11 @@ def score_windows(model: Model, classes: Classes, flat: np.ndarray, start: np.nd
     owner = np.repeat(np.arange(len(n)), later)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(later) - later, later) + 1
     for own, k, skip in ((np.arange(len(n)), np.zeros(len(n), np.int64), 0), (owner, nth, OVERLAP)):
+        held = np.minimum(LENGTH, n[own] - k * step)
+        order = np.argsort(held, kind="stable")  # windows of about one length together: no place after a text's end is computed but for a longer window beside it
+        own, k, held = own[order], k[order], held[order]
         for part in range(0, len(own), BATCH):
-            o, at = own[part : part + BATCH], k[part : part + BATCH, None] * step + np.arange(LENGTH)[None, :]
+            o, at = own[part : part + BATCH], k[part : part + BATCH, None] * step + np.arange(held[part : part + BATCH].max())[None, :]
             place, ok = start[o][:, None] + at, at < n[o][:, None]
             x = rows[np.clip(place - 1, 0, len(rows) - 1)]
             x[at == 0] = bos

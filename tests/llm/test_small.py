@@ -476,6 +476,20 @@ def test_passages_of_frequent_seeds_equal_all_pairs():
     assert want > 50 and found == want
 
 
+def test_lm_scores_no_places_after_short_texts(monkeypatch):
+    """Windows of about one length are scored together, and each text's score is what it has alone."""
+    rng = np.random.default_rng(14)
+    n = np.r_[np.full(300, 3), np.full(200, 70), 1, 64, 65, 200]
+    flat, start = rng.integers(3, 500, n.sum()), np.r_[0, np.cumsum(n)]
+    classes = lm_score.Classes(np.arange(2000, 0, -1.0))
+    model = lm_score.Model.fresh(classes.prior)
+    alone = [lm_score.score_windows(model, classes, flat[s:e], np.array([0, e - s]))[0] for s, e in zip(start[:-1].tolist(), start[1:].tolist())]
+    seen, logs = [], lm_score.Model.logs
+    monkeypatch.setattr(lm_score.Model, "logs", lambda self, rows, target, skip: seen.append(rows.size) or logs(self, rows, target, skip))
+    np.testing.assert_allclose(lm_score.score_windows(model, classes, flat, start), alone, rtol=1e-5)
+    assert sum(seen) < 0.7 * 64 * (len(n) + 200 + 1 + 3), sum(seen)
+
+
 def test_frequent_seeds_take_little_memory():
     """Stretches of a bucket: few bytes a word, and only what lies around the bucket's own seeds."""
     rng = np.random.default_rng(13)
