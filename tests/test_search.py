@@ -173,3 +173,27 @@ def test_info(spark):
     assert engine_info(spark).first().available
     for name in ("encode", "decode", "haversine", "filter_radius"):
         assert benchmark(src.world_points(spark, DATA), name)["operations"] == 150
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def many(spark, n=400):
+    """Points and centres all over the globe, at poles and the antimeridian too, some of them twice."""
+    world = src.world_points(spark, DATA)
+    edges = [(900, 90.0, 0.0), (901, -90.0, 10.0), (902, 0.0, 180.0), (903, 0.0, -180.0), (904, 89.95, -170.0), (None, 5.0, 5.0), (None, 5.0, 5.0)]
+    rows = [(int(i), float(i * 37 % 1801) / 10 - 90, float(i * 101 % 3601) / 10 - 180) for i in range(1000, 1000 + n)]
+    x = PointIndex.create(spark).add_batch(world.union(world)).add_rows(rows).add_batch(spark.createDataFrame(edges, "id long, lat double, lng double")).build(3)
+    spots = [(i, float(i * 53 % 179) - 89, float(i * 97 % 359) - 179) for i in range(24)] + [(100, 90.0, 0.0), (101, -89.97, 170.0), (102, 0.0, 179.9), (103, 0.0, -180.0), (104, 95.0, 0.0), (105, 5.0, 5.0)]
+    return x, spark.createDataFrame(spots, "qid long, lat double, lng double")
+
+
+def test_distance_join_shuffles_no_pairs(spark):
+    x, centers = many(spark)
+    plan = plan_of(joins.distance_join(centers, x, 900.0))
+    assert "Exchange" not in plan.split("Join")[0] and "Join" in plan  # the tree is printed from its root
+    twice = centers.union(centers).union(spark.createDataFrame([(0, -88.0, -178.0), (None, 1.0, 1.0), (None, 1.0, 2.0)], "qid long, lat double, lng double"))
+    rows = joins.distance_join(twice, x, 3000.0).groupBy("qid", "id", "z_ord").count()
+    assert rows.filter("count > 1").count() == 0
+    assert rows.filter("qid is null").count() == joins.distance_join(twice, x, 3000.0, dedup=False).filter("qid is null").select("id", "z_ord").distinct().count() > 0
