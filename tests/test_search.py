@@ -197,3 +197,17 @@ def test_distance_join_shuffles_no_pairs(spark):
     rows = joins.distance_join(twice, x, 3000.0).groupBy("qid", "id", "z_ord").count()
     assert rows.filter("count > 1").count() == 0
     assert rows.filter("qid is null").count() == joins.distance_join(twice, x, 3000.0, dedup=False).filter("qid is null").select("id", "z_ord").distinct().count() > 0
+
+
+@pytest.mark.parametrize("crowd", [50_000, 20])
+def test_counts_make_no_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(joins, "CROWD", crowd)
+    x, centers = many(spark)
+    for r in (0.0, 3.0, 900.0, 5000.0, 9900.0, 25000.0):
+        n = joins.distance_join_counts(centers, x, r, cell=1.0 if r < 900 else None)
+        assert "lat_q" not in "".join(line for line in plan_of(n).splitlines() if "Join" in line)
+        want = {row.qid: row.n for row in joins.distance_join(centers, x, r).groupBy("qid").agg(F.count("*").alias("n")).collect()}
+        assert {row.qid: row.n for row in n.collect()} == {c.qid: want.get(c.qid, 0) for c in centers.collect()}
+    twice = centers.limit(3).union(spark.createDataFrame([(0, -60.0, 0.0), (None, 1.0, 1.0)], "qid long, lat double, lng double"))
+    want = {row.qid: row.n for row in joins.distance_join(twice, x, 3000.0).groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert {row.qid: row.n for row in joins.distance_join_counts(twice, x, 3000.0).collect() if row.qid is not None} == {q: n for q, n in want.items() if q is not None}
