@@ -10,11 +10,13 @@ Counts make no pairs: see circles.py.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import KM_PER_DEGREE
-from ..functions.geo import bounding_box, haversine_km
+from ..constants import EARTH_RADIUS_KM, KM_PER_DEGREE, MAX_LAT, MAX_LNG, MIN_LAT, MIN_LNG
+from ..functions.geo import bounding_box, haversine_km, is_valid_point, to_degrees
 from ..plans.ranges import box, rings, z_bounds
 from ..shipped import ship
 from . import circles
@@ -24,8 +26,8 @@ from .search import inside, ring_of, without_duplicates
 LEAST_CELL, MOST_CELL, MOST_CELLS = 0.01, 30.0, 64
 LIMITS = ("min_lat", "max_lat", "min_lng", "max_lng")
 POINT = ("id", "z_ord", "lat_q", "lng_q")
-#: Points, and centres, of one cell that a task counts at once: more are dealt out.
-CROWD = 50_000
+#: Points, and centres, of one cell that a task counts at once: more are dealt out. Grids of a nearest join, and cells of longitude that a centre may have in one.
+CROWD, LEVELS, MOST_NEAR = 50_000, 12, 1024
 WIDE = -(1 << 40)
 
 
@@ -141,10 +143,50 @@ def region_counts(regions: DataFrame, index: PointIndex, cell: float = 10.0) ->
     return regions.select("name").join(n, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _reach(left: DataFrame, points: DataFrame, k: int, radius_km: float) -> DataFrame:
+    """Of centres whose cell, in some grid, has k points: the size of the finest such grid, and a radius that holds the whole cell.
+
+    Cells of the widest grid lie inside the circle of radius_km and its box, whatever centre they have.
+    """
+    widest = radius_km / KM_PER_DEGREE / 1.5
+    levels = max(1, min(LEVELS, math.ceil(math.log2(max(1.0, widest / LEAST_CELL)))))
+    sizes = [widest / 2**i for i in range(levels)]
+    cells = points.groupBy(_cell(F.col("lat_q"), sizes[-1]).alias("a"), _cell(F.col("lng_q"), sizes[-1]).alias("o")).agg(F.count("*").alias("n"))
+    every = F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright("a", levels - 1 - i).alias("a"), F.shiftright("o", levels - 1 - i).alias("o")) for i in range(levels)])
+    full = cells.select(F.explode(every).alias("at"), "n").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= k).select("at")
+    size = F.element_at(F.array(*[F.lit(x) for x in sizes]), F.col("at.level") + 1)
+    own = F.array(*[F.struct(F.lit(i).alias("level"), _cell(F.col("lat"), x).alias("a"), _cell(F.col("lng"), x).alias("o")) for i, x in enumerate(sizes)])
+    corners = [haversine_km(F.col("lat"), F.col("lng"), (F.col("at.a") + i) * F.col("size"), (F.col("at.o") + j) * F.col("size")) for i in (0, 1) for j in (0, 1)]
+    placed = left.filter(is_valid_point(F.col("lat"), F.col("lng"))).withColumn("at", F.explode(own)).withColumn("size", size).withColumn("r", F.greatest(*corners) * F.lit(1 + 1e-9) + F.lit(1e-6))
+    angle, cosine = F.col("r") / F.lit(EARTH_RADIUS_KM), F.cos(F.radians("lat"))
+    high = to_degrees(angle) + F.lit(1e-7)
+    wide = F.when((F.col("lat") + high < MAX_LAT) & (F.col("lat") - high > MIN_LAT), to_degrees(F.asin(F.least(F.lit(1.0), F.sin(angle) / cosine))) + F.lit(1e-7)).otherwise(F.lit(360.0))
+    placed = placed.withColumn("high", high).withColumn("wide", wide).filter((F.col("r") <= radius_km) & (F.least(F.col("wide") * 2, F.lit(360.0)) / F.col("size") < MOST_NEAR))
+    best = placed.join(full, "at").groupBy("qid").agg(F.max_by(F.struct("lat", "lng", "size", "r", "high", "wide"), F.col("at.level")).alias("x"))
+    return best.select("qid", "x.*")
+
+
+def _nearest(near: DataFrame, points: DataFrame, radius_km: float) -> DataFrame:
+    """What distance_join with radius_km finds around the centres of _reach, up to the radius of each."""
+    c = near.select("qid", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"), "r", "size", "high", "wide")
+    c = c.select("*", *[e.alias(n) for n, e in bounding_box(F.col("c_lat"), F.col("c_lng"), radius_km).items()])
+    sizes = [r[0] for r in near.select("size").distinct().collect()]  # at most LEVELS
+    if not sizes:
+        sizes = [LEAST_CELL]
+    cover = lambda low, high: F.sequence(_cell(low, F.col("size")), _cell(high, F.col("size")))
+    c = c.withColumn("a", F.explode(cover(F.greatest(F.col("c_lat") - F.col("high"), F.col("min_lat")), F.least(F.col("c_lat") + F.col("high"), F.col("max_lat")))))
+    c = c.withColumn("o", F.explode(cover(F.greatest(F.col("c_lng") - F.col("wide"), F.col("min_lng")), F.least(F.col("c_lng") + F.col("wide"), F.col("max_lng"))))).drop("high", "wide")
+    placed = points.select("*", F.explode(F.array(*[F.lit(x) for x in sizes])).alias("size")).withColumn("a", _cell(F.col("lat_q"), F.col("size"))).withColumn("o", _cell(F.col("lng_q"), F.col("size")))
+    distance = haversine_km(F.col("c_lat"), F.col("c_lng"), F.col("lat_q"), F.col("lng_q"))
+    held = F.col("lat_q").between(F.col("min_lat"), F.col("max_lat")) & F.col("lng_q").between(F.col("min_lng"), F.col("max_lng")) & (distance <= F.col("r"))
+    return c.join(placed, ["size", "a", "o"]).filter(held).select("qid", "id", "z_ord", F.col("lat_q").alias("lat"), F.col("lng_q").alias("lng"), distance.alias("distance_km"))
+
+
 def knn_join(centers: DataFrame, index: PointIndex, k: int, max_radius_km: float) -> DataFrame:
     """qid, rank, id, z_ord, lat, lng, distance_km: for each centre what knn_search finds.
 
-    Ring by ring: all centres search the smallest circle; those that hold fewer than k points there go
+    Most centres are in a cell of some grid that has k points and lies inside the first ring: a circle around
+    that cell has their k best, and they search nothing beyond it. The others go ring by ring: those that hold fewer than k points there go
     on to the next, of twice the radius, so most pairs of a wide ring are never made. The k best are taken as a ring ends.
     Rows that repeat a centre (qid, lat and lng) count once; a qid with several positions is searched
     from each, with ranks of its own for each. What a ring found (at most k rows a centre) is kept persisted for the result.
@@ -156,14 +198,20 @@ def knn_join(centers: DataFrame, index: PointIndex, k: int, max_radius_km: float
         raise ValueError("max_radius_km must be at least 1")
     at = F.struct("qid", "lat", "lng")
     left = centers.select("qid", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).distinct().select(at.alias("qid"), "lat", "lng")
-    out, best = None, Window.partitionBy("qid").orderBy("distance_km", "id", "z_ord")
-    for i, r in enumerate(radii):
-        near = distance_join(left, index, r).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    points = without_duplicates(index.rows().select(*POINT)).persist()
+    best = Window.partitionBy("qid").orderBy("distance_km", "id", "z_ord")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    settled = _reach(left, points, k, radii[0]).persist()  # a row a centre
+    out = ranked(_nearest(settled, points, radii[0]))
+    left = left.join(settled.select(F.col("qid").alias("full")), F.col("qid") == F.col("full"), "left_anti").persist()
+    for i, r in enumerate([] if left.isEmpty() else radii):
+        boxes, size = _boxes(left, r, None, False)
+        near = ranked(_pairs(boxes, points, size))
         last = i == len(radii) - 1
         near = near if last else near.persist()  # at most k rows a centre
         full = near.filter(F.col("rank") == k).select(F.col("qid").alias("full"))
         done = near if last else near.join(full, F.col("qid") == F.col("full"), "left_semi")
-        out = done if out is None else out.unionByName(done)
+        out = out.unionByName(done)
         if not last:
             left = left.join(full, F.col("qid") == F.col("full"), "left_anti").persist()
             if left.isEmpty():
