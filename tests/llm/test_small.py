@@ -433,6 +433,25 @@ def test_passages_of_recombined_common_text(spark):
     assert found == 6
 
 
+def test_frequent_seeds_in_waves(spark, monkeypatch):
+    """Frequent seeds' buckets one after the other find what they find at once, and the disk holds the stretches of one only."""
+    line = sentence(70_000, 60).split()
+    texts = {d: sentence(71_000 + d, 30) + " " + " ".join(line[7 * (d % 8) : 7 * (d % 8) + 11]) + " " + sentence(72_000 + d, 30) for d in range(120)}
+    for d in (30, 61):
+        own = [w if i % 13 != d % 10 else f"new{d}x{i}" for i, w in enumerate(line)]
+        texts[d] = sentence(73_000 + d, 30) + " " + " ".join(own) + " " + sentence(74_000 + d, 30)
+    parts, keep = [], substring_dedup.table
+    monkeypatch.setattr(substring_dedup, "table", lambda df, name, *a: (parts.append(name), keep(df, name, *a))[1])
+    rows = lambda: sorted({(r.doc_id, r.start, r.end, r.other_doc_id, r.other_start, r.other_end) for r in passages_of(spark, texts)})
+    once = rows()
+    assert parts.count("rest-passages") == 1
+    monkeypatch.setattr(substring_dedup, "WAVE", 0)
+    monkeypatch.setattr(substring_dedup, "LEAST_WAVE", 1)
+    parts.clear()
+    assert rows() == once and once
+    assert parts.count("rest-passages") == 8
+
+
 def test_passages_of_frequent_seeds_equal_all_pairs():
     """Places of frequent seeds, compared kind by kind, list every document of a passage that an alignment of every two finds."""
     rng = np.random.default_rng(12)
